@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +52,15 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and bind it for ``body``.
+
+    A column expression that is used several times inside a lambda would be
+    evaluated again for every element; a bound one is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def line_array(text: Column) -> Column:
     """``array<struct<line_index,text,raw_text>>`` of the non-blank lines.
 

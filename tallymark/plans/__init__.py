@@ -9,6 +9,7 @@ from tallymark.plans.registry import CATALOGUE, Query
 THEMES = (
     "dockets",
     "compliance",
+    "language",
 )
 
 
