@@ -10,6 +10,7 @@ THEMES = (
     "dockets",
     "compliance",
     "language",
+    "extraction",
 )
 
 
