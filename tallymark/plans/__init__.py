@@ -11,6 +11,7 @@ THEMES = (
     "compliance",
     "language",
     "extraction",
+    "layout",
 )
 
 
