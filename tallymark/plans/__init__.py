@@ -12,6 +12,7 @@ THEMES = (
     "language",
     "extraction",
     "layout",
+    "linkage",
 )
 
 
