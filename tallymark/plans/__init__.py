@@ -13,6 +13,7 @@ THEMES = (
     "extraction",
     "layout",
     "linkage",
+    "statutory",
 )
 
 
