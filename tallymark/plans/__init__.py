@@ -14,6 +14,7 @@ THEMES = (
     "layout",
     "linkage",
     "statutory",
+    "meaning",
 )
 
 

@@ -164,13 +164,13 @@ def risk_scores(spark, d):
 
 
 @query("image_quality", "R19", """
-with m as (select event_id, value, (event_id % 97) * 1.0037::double as a, (event_id % 89)::double as b, (event_id % 53)::double as c from events),
+with m as (select event_id, value, (event_id % 97) * 1.0123::double as a, (event_id % 89) * 1.0071::double as b, (event_id % 53)::double as c from events),
 s as (select *, round(a * 0.3::double + b * 0.2::double + c * 0.15::double + 90 * 0.15::double + 80 * 0.1::double + a * 0.1::double, 1) as score from m)
 select event_id, score, case when a < 20 or c > 45 or score < 30 then 'INSUFFICIENT' when score < 70 then 'DEGRADED' else 'GOOD' end as status,
  cast(greatest(15, least(99, round_even(least(30.0::double, a / 150.0 * 30.0) + greatest(0.0::double, 20.0 - abs(b - 140.0) / 140.0 * 20.0) + least(20.0::double, c / 50.0 * 20.0) + 15.0 + greatest(0.0::double, 15.0 - 1.5 - b / 30.0), 0))) as int) as points from s""")
 def image_quality(spark, d):
     k = F.col("event_id")
-    m = table(spark, d, "events").select("event_id", ((k % 97) * F.lit(1.0037)).alias("a"), (k % 89).cast("double").alias("b"), (k % 53).cast("double").alias("c"))
+    m = table(spark, d, "events").select("event_id", ((k % 97) * F.lit(1.0123)).alias("a"), ((k % 89) * F.lit(1.0071)).alias("b"), (k % 53).cast("double").alias("c"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     g = ck.quality_gate(a, b, c, F.lit(90.0), F.lit(80.0), a, a, F.lit(0.0), F.lit(500), c, F.lit(0))
     v = m.select("event_id", g.alias("g"), ck.quality_points(a, b, c, F.lit(1.5), F.lit(1.0), b, F.lit(False)).alias("points"))
