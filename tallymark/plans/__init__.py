@@ -15,6 +15,7 @@ THEMES = (
     "linkage",
     "statutory",
     "meaning",
+    "streams",
 )
 
 
