@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,32 +22,44 @@ def _contains_word(low: Column, words: Sequence[str]) -> Column:
 
 # --- words of a text, found in one pass -------------------------------------
 
-def word_grams(low: Column, longest: int = 3) -> Column:
-    """Distinct words and joined phrases of up to ``longest`` words.
+def word_grams(low: Column, vocabulary: Sequence[str]) -> Column:
+    """Words and phrases of ``vocabulary`` that occur in the text as whole words.
 
-    The text is split at word borders, so a phrase only counts when its words
-    are parted by exactly one space or hyphen, as in a whole-word pattern.
-    Vocabularies are then matched by hash instead of one pattern per word.
+    The text is split once at word borders.  Single words are looked up by
+    hash; a phrase is only put together where its first word stands, and counts
+    when its parts are joined exactly as in the vocabulary.
     """
+    parts = {w: re.findall(r"\w+|\W+", w) for w in dict.fromkeys(vocabulary)}
+    single = [w for w, p in parts.items() if len(p) == 1]
+    phrases = [w for w, p in parts.items() if len(p) > 1]
+    starts = list(dict.fromkeys(parts[w][0] for w in phrases))
+    lengths = sorted({len(parts[w]) for w in phrases})
+
     def grams(tokens: Column) -> Column:
-        def phrase(n: int):
-            def gram(t: Column, i: Column) -> Column:
-                parts, test = [t], F.lit(True)
-                for k in range(1, n):
-                    parts += [F.get(tokens, i + (2 * k - 1)), F.get(tokens, i + 2 * k)]
-                    test = test & F.get(tokens, i + (2 * k - 1)).isin(" ", "-")
-                return F.when(test, F.concat(*parts))
-            return gram
-
-        longer = [F.array_compact(F.transform(tokens, phrase(n))) for n in range(2, longest + 1)]
-        return F.array_distinct(F.concat(tokens, *longer))
+        found = [F.filter(tokens, lambda t: t.isin(*single))]
+        for n in lengths:
+            found.append(F.array_compact(F.transform(tokens, phrase(tokens, n))))
+        return F.array_distinct(F.concat(*found))
+
+    def phrase(tokens: Column, n: int):
+        def gram(t: Column, i: Column) -> Column:
+            joined = F.concat(t, *[F.get(tokens, i + k) for k in range(1, n)])
+            return F.when(t.isin(*starts), F.when(joined.isin(*[w for w in phrases if len(parts[w]) == n]), joined))
+        return gram
 
     return tx.let(F.split(low, r"\b"), grams)
 
 
-def with_grams(df: DataFrame, text_col: str = "text", out: str = "grams") -> DataFrame:
-    """Add the grams as a column, so that several vocabularies share one pass."""
-    return df.withColumn(out, word_grams(F.lower(F.col(text_col))))
+def default_vocabulary() -> list[str]:
+    words = [w for w, _ in lx.commodity_words()]
+    for table in (lx.DOMAIN_WORDS, lx.SIGNAL_WORDS):
+        words += [w for ws in table.values() for w in ws]
+    return list(dict.fromkeys(words))
+
+
+def with_grams(df: DataFrame, text_col: str = "text", out: str = "grams", vocabulary: Sequence[str] | None = None) -> DataFrame:
+    """Add the known words as a column, so that several classifiers share one pass."""
+    return df.withColumn(out, word_grams(F.lower(F.col(text_col)), vocabulary or default_vocabulary()))
 
 
 def known_words(grams: Column, words: Sequence[str]) -> Column:
@@ -218,8 +231,7 @@ def gated_category(
     """
     low = F.lower(F.col(text_col))
     single = sorted({w for ws in vocabulary.values() for w in ws if w.isalnum()})
-    vocab = F.array(*[F.lit(w) for w in single])
-    df = df.withColumn("_hits", F.filter(F.split(low, r"\b"), lambda t: F.array_contains(vocab, t)))
+    df = df.withColumn("_hits", F.filter(F.split(low, r"\b"), lambda t: t.isin(*single)))
 
     def count(w: str) -> Column:
         if w.isalnum():

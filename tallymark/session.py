@@ -53,3 +53,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that an iterative job survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a narrow, CPU-heavy job at least one partition per core.
+
+    A small input often sits in one file with one row group and would keep all
+    other cores idle.  An input with enough partitions is left alone, so on
+    large data nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
