@@ -58,7 +58,7 @@ def _filled(name: str) -> Column:
 
 
 def statutory_checks(facts: DataFrame, key: str) -> DataFrame:
-    """One row per (label, rule) with its status, before vetoes and roll-ups."""
+    """Array ``checks`` of (rule, status) per label, before vetoes and roll-ups."""
     f = with_facts(facts)
     low = F.lower(F.concat_ws(" ", "commodity_name", "product_name"))
     net = F.coalesce("net_value", F.lit(0.0))
@@ -101,35 +101,47 @@ def statutory_checks(facts: DataFrame, key: str) -> DataFrame:
     }
     entries = [F.struct(F.lit(rule).alias("rule_no"), s.alias("status")) for rule, s in status.items()]
     entries += [F.struct(F.lit(rule).alias("rule_no"), F.lit(PASS).alias("status")) for rule in ALWAYS_PASS]
-    # Exploded in blocks, so that no generated method grows past its limit.
+    # Built in blocks, so that no generated method grows past its limit.
     blocks = [F.array(*entries[i:i + 8]) for i in range(0, len(entries), 8)]
-    return f.select(key, "degraded", "marketer_name", "marketer_pin", "maker_address", "evidence_text", F.inline(F.concat(*blocks)))
+    return f.select(key, "degraded", "marketer_name", "marketer_pin", "maker_address", "evidence_text", F.concat(*blocks).alias("checks"))
 
 
-def settle(checks: DataFrame, key: str) -> DataFrame:
-    """Degraded-image override, evidence veto, then rules 32 and 32A from the remaining failures."""
-    address_rule = F.col("rule_no").isin("RULE 6(1)(a)", "RULE 10")
-    fail = F.col("status") == FAIL
+def settle(labels: DataFrame, key: str) -> DataFrame:
+    """Degraded-image override, evidence veto, then rules 32 and 32A from the remaining failures.
+
+    All of it happens on the array of the label's own row; the result is one
+    row per (label, rule) and nothing has been shuffled.
+    """
     marketed = _filled("marketer_name") & (F.length(F.coalesce("marketer_pin", F.lit(""))) == 6)
     refuted = _words(F.lower(F.concat_ws(" ", F.coalesce("maker_address", F.lit("")), F.coalesce("evidence_text", F.lit("")))), FORMULATION)
-    status = F.when(fail & _yes("degraded"), REVIEW).when(fail & address_rule & (marketed | refuted), REVIEW).otherwise(F.col("status"))
-    own = checks.select(key, "rule_no", status.alias("status"))
-    fails = own.groupBy(key).agg(count_if(F.col("status") == FAIL).alias("fails"))
-    derived = fails.select(key, F.inline(F.array(*[
-        F.struct(F.lit(r).alias("rule_no"), F.when(F.col("fails") > 0, FAIL).otherwise(PASS).alias("status")) for r in ("RULE 32", "RULE 32A")])))
-    return own.unionByName(derived)
+    d = labels.withColumn("_degraded", _yes("degraded")).withColumn("_vetoed", marketed | refuted)
+
+    def own(c: Column) -> Column:
+        soft = F.col("_degraded") | (F.col("_vetoed") & c["rule_no"].isin("RULE 6(1)(a)", "RULE 10"))
+        return F.struct(c["rule_no"].alias("rule_no"), F.when((c["status"] == FAIL) & soft, REVIEW).otherwise(c["status"]).alias("status"))
+
+    def derived(cs: Column) -> Column:
+        verdict = F.when(F.exists(cs, lambda c: c["status"] == FAIL), FAIL).otherwise(PASS)
+        return F.concat(cs, F.array(*[F.struct(F.lit(r).alias("rule_no"), verdict.alias("status")) for r in ("RULE 32", "RULE 32A")]))
 
+    return d.select(key, F.inline(tx.let(F.transform("checks", own), derived)))
 
-def score(checks: DataFrame, key: str, formula: str = "ratio", degraded: Column | None = None) -> DataFrame:
-    """Score and overall status per label.
+
+def check_counts(checks: DataFrame, key: str) -> DataFrame:
+    """Counts per status and the overall status of each label, in one pass."""
+    status = F.col("status")
+    g = checks.groupBy(key).agg(
+        count_if(status == PASS).alias("passed"), count_if(status == FAIL).alias("failed"), count_if(status == REVIEW).alias("reviews"), count_if(status == NA).alias("not_applicable"))
+    return g.withColumn("overall_status", F.when(F.col("failed") > 0, "NON_COMPLIANT").when(F.col("reviews") > 0, "NEEDS_REVIEW").otherwise("COMPLIANT"))
+
+
+def score(formula: str = "ratio", degraded: Column | None = None) -> Column:
+    """Score from the columns of ``check_counts``.
 
     ``ratio``: passed share of passed and failed.  ``penalty``: 100 less 12 per
     failure, at least 20; 80 with open reviews, 65 for a degraded clean label.
     ``capped``: ratio, at most 85 while only reviews are open.
     """
-    status = F.col("status")
-    g = checks.groupBy(key).agg(
-        count_if(status == PASS).alias("passed"), count_if(status == FAIL).alias("failed"), count_if(status == REVIEW).alias("reviews"), count_if(status == NA).alias("not_applicable"))
     ratio = F.bround(F.col("passed") * 100.0 / F.greatest(F.lit(1), F.col("passed") + F.col("failed")), 0)
     if formula == "penalty":
         value = F.when(F.col("failed") > 0, F.greatest(F.lit(20), 100 - F.col("failed") * 12)).when(F.col("reviews") > 0, 80).otherwise(100)
@@ -138,8 +150,7 @@ def score(checks: DataFrame, key: str, formula: str = "ratio", degraded: Column
         value = F.when((F.col("failed") == 0) & (F.col("reviews") > 0), F.least(F.lit(85.0), ratio)).otherwise(ratio)
     else:
         value = ratio
-    overall = F.when(F.col("failed") > 0, "NON_COMPLIANT").when(F.col("reviews") > 0, "NEEDS_REVIEW").otherwise("COMPLIANT")
-    return g.withColumn("score", value.cast("int")).withColumn("overall_status", overall)
+    return value.cast("int")
 
 
 def dossier(checks: DataFrame, key: str) -> DataFrame:

@@ -102,8 +102,8 @@ def merge_evidence(evidence: DataFrame) -> DataFrame:
 def summary(routed: DataFrame, *keys: str) -> DataFrame:
     """Counts per product (or per session) and the overall status.
 
-    Several reports of one violation count once.  The distinct count is taken
-    in two plain steps, so that a hot key is combined before the shuffle.
+    One aggregate over the routed evaluations; a product meets a rule once, so
+    its violations are distinct already.
     """
     kind = F.col("route")
     out = routed.groupBy(*keys).agg(
@@ -112,6 +112,7 @@ def summary(routed: DataFrame, *keys: str) -> DataFrame:
         count_if(kind == "review").alias("needs_review_items"),
         count_if(F.col("evaluation_status") == "COMPLIANT").alias("compliant_rules"),
         count_if((F.col("applicability_status") == "NOT_APPLICABLE") | (F.col("evaluation_status") == "NOT_APPLICABLE")).alias("not_applicable_rules"),
+        count_if(F.col("evaluation_status").isin("NEEDS_REVIEW", "CONFLICT")).alias("undecided_rules"),
     )
     return out.withColumn("overall_status", overall_from_counts())
 
@@ -130,20 +131,22 @@ def session_summary(product_summaries: DataFrame, key: str = "session_id") -> Da
     return out.withColumn("overall_status", overall_from_counts())
 
 
-def assemble_results(products: DataFrame, evaluation_status: DataFrame, counts: DataFrame, key: str = "product_id") -> DataFrame:
-    """Final row per product from pre-aggregated evaluation and violation tables."""
-    e = evaluation_status.select(key, F.col("overall_status").alias("rule_status"), F.col("evaluated").alias("rules_evaluated"))
-    c = counts.select(key, "confirmed_violations", "needs_review_items", "compliant_rules", "not_applicable_rules")
-    joined = products.join(e, key, "left").join(c, key, "left")
+def assemble_results(products: DataFrame, counts: DataFrame, key: str = "product_id") -> DataFrame:
+    """Final row per product from the summary of its evaluations.
+
+    Evaluations and violations are counted in the same pass, so the assembly is
+    one left join of pre-aggregated rows.
+    """
+    c = counts.select(key, "total_evaluations", "confirmed_violations", "needs_review_items", "compliant_rules", "not_applicable_rules", "undecided_rules")
+    joined = products.join(c, key, "left")
     zero = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("bigint")
     status = (
         F.when(zero("confirmed_violations") > 0, "NON_COMPLIANT")
-        .when(zero("needs_review_items") > 0, "NEEDS_REVIEW")
-        .when(F.col("rule_status").isin("NEEDS_REVIEW", "CONFLICT"), "NEEDS_REVIEW")
+        .when((zero("needs_review_items") > 0) | (zero("undecided_rules") > 0), "NEEDS_REVIEW")
         .otherwise("COMPLIANT")
     )
     return joined.select(
-        *products.columns, zero("rules_evaluated").alias("rules_evaluated"), zero("compliant_rules").alias("compliant"),
+        *products.columns, zero("total_evaluations").alias("rules_evaluated"), zero("compliant_rules").alias("compliant"),
         zero("confirmed_violations").alias("non_compliant"), zero("needs_review_items").alias("needs_review"),
         zero("not_applicable_rules").alias("not_applicable"), status.alias("overall_status"),
     )

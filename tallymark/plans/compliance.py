@@ -180,9 +180,8 @@ select product_id, session_id, count(*) as rules_evaluated, count(*) filter (eva
   case when count(*) filter (route = 'violation') > 0 then 'NON_COMPLIANT' when count(*) filter (route = 'review') > 0 then 'NEEDS_REVIEW' else 'COMPLIANT' end as overall_status
 from routed group by 1, 2""")
 def final_results(spark, d):
-    ev = evaluations(spark, d)
-    counts = vi.summary(vi.route(ev), "product_id")
-    return vi.assemble_results(products(spark, d).select("product_id", "session_id"), ru.roll_up(ev, "product_id"), counts)
+    counts = vi.summary(vi.route(evaluations(spark, d)), "product_id")
+    return vi.assemble_results(products(spark, d).select("product_id", "session_id"), counts)
 
 
 @query("rules_in_force", "R1 R2 P6", """

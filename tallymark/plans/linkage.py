@@ -40,7 +40,15 @@ def session_matches(spark, d):
     return lk.anchor_matches(images(spark, d), "session", "ord").select("session", "ord", "anchor", "score", "status")
 
 
-@query("product_clusters", "J2")
+# Leaders by recursion over the order of a session; only for the comparison.
+@query("product_clusters", "J2", f"""
+with recursive {SQL_IDENT}, n as (select *, row_number() over (partition by session order by ord) as rn from ident),
+e as (select b.session, b.ord, coalesce(list(a.ord) filter (a.ord is not null), []) as cands from n b left join n a on a.session = b.session and a.ord < b.ord and {_score_sql()} >= 0.7 group by 1, 2),
+x as (select n.session, n.ord, n.rn, e.cands from n join e using (session, ord)),
+st as (select session, ord, rn, [ord] as leaders, ord as cluster_ord from x where rn = 1
+  union all select x.session, x.ord, x.rn, case when len(list_intersect(st.leaders, x.cands)) > 0 then st.leaders else list_append(st.leaders, x.ord) end,
+    coalesce(list_min(list_intersect(st.leaders, x.cands)), x.ord) from st join x on x.session = st.session and x.rn = st.rn + 1)
+select session, ord, cluster_ord from st""")
 def product_clusters(spark, d):
     return lk.leader_clusters(images(spark, d), "session", "ord")
 

@@ -75,11 +75,9 @@ select id, passed, failed, reviews, cast(round_even(passed * 100.0::double / gre
  cast(case when failed > 0 then greatest(20, 100 - failed * 12) when reviews > 0 then 80 else 100 end as int) as penalty_score,
  cast(case when failed = 0 and reviews > 0 then least(85, round_even(passed * 100.0::double / greatest(1, passed + failed), 0)) else round_even(passed * 100.0::double / greatest(1, passed + failed), 0) end as int) as capped_score from s""")
 def compliance_scores(spark, d):
-    c = checks(spark, d)
-    a = ck.score(c, "id").drop("not_applicable")
-    b = ck.score(c, "id", "penalty").select("id", F.col("score").alias("penalty_score"))
-    e = ck.score(c, "id", "capped").select("id", F.col("score").alias("capped_score"))
-    return a.join(b, "id").join(e, "id")
+    g = ck.check_counts(checks(spark, d), "id")
+    return g.select("id", "passed", "failed", "reviews", "overall_status", ck.score().alias("score"),
+                    ck.score("penalty").alias("penalty_score"), ck.score("capped").alias("capped_score"))
 
 
 @query("dossiers", "R20", WITH_CHECKS + """
