@@ -174,6 +174,31 @@ def commercial_entities(df: DataFrame) -> DataFrame:
     return d.select(*keys, "role", "name", "address", pin.alias("pin"), pin.isNotNull().alias("has_valid_pin"))
 
 
+def address_fallback(df: DataFrame) -> DataFrame:
+    """Address of a label that names no party at all.
+
+    The first line with an address cue, with its neighbours; a name is never
+    invented.  Input rows must be labels without any commercial entity.
+    """
+    def judged(l: Column) -> Column:
+        t = l["text"]
+        copy = tx.has(t, lx.MARKETING) | tx.has(t, lx.INGREDIENT) | _in_any(F.lower(t), lx.FORMULATION_WORDS[:-3])
+        return F.struct(t.alias("text"), copy.alias("copy"), tx.has(t, lx.CUTOFF).alias("cut"), tx.has(t, lx.ADDRESS_CUES).alias("cue"))
+
+    keys = [c for c in df.columns if c != "lines"]
+    d = df.select(*keys, F.transform("lines", judged).alias("_f"))
+    lines = F.col("_f")
+
+    def near(i: Column, step: int) -> Column:
+        l = F.get(lines, i + step)
+        return F.when(~l["cut"] & ~l["copy"], l["text"])
+
+    spots = F.transform(lines, lambda l, i: F.struct(
+        (l["cue"] & ~l["copy"]).alias("cue"), F.concat_ws(", ", l["text"], near(i, -1), near(i, 1), near(i, 2)).alias("address")))
+    d = d.select(*keys, F.inline(F.slice(F.filter(spots, lambda h: h["cue"]), 1, 1)))
+    return d.select(*keys, "address", F.coalesce(tx.grab(F.col("address"), lx.PIN), tx.grab(F.col("text"), lx.PIN)).alias("pin"))
+
+
 def address_block(df: DataFrame, at: Column, lookahead: int = 4) -> DataFrame:
     """Add ``block``: struct<address,pin> from the lines after position ``at``."""
     ahead = F.slice(F.col("lines"), at + 1, lookahead)

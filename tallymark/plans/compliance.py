@@ -193,6 +193,25 @@ def rules_in_force(spark, d):
     return days.join(hits, "o_orderkey", "left").select("o_orderkey", F.coalesce("count", F.lit(0)).cast("int").alias("n_rules"))
 
 
+TITLES = ["Name and complete address", "Common or generic name", "Net quantity in units", "Month and year of packing", "Maximum retail price", "Consumer care details", "Country of origin", "Batch marking", "Sale price of packs", "Short title"]
+
+
+@query("derived_rules", "S2 R2 R3", f"""
+with t as (select p_partkey as k, ({'[' + ', '.join("'" + x + "'" for x in TITLES) + ']'})[1 + p_partkey % 10] as title, p_partkey % 10 as i from part)
+select case when k % 20 = 4 then 'RULE_06_MRP' else 'RULE_' || cast(k as varchar) end as rule_id, k as rule_key, title, case i when 6 then 'IMPORTER' when 2 then 'NET_QUANTITY' when 4 then 'MRP' when 8 then 'MRP' when 5 then 'CONSUMER_CARE' else 'DECLARATION' end as requirement_type,
+ case i when 0 then 'MANUFACTURER_NAME,MANUFACTURER_ADDRESS' when 2 then 'NET_QUANTITY' when 3 then 'MANUFACTURING_DATE' when 4 then 'MRP' when 5 then 'CONSUMER_CARE' when 6 then 'IMPORTER_NAME,IMPORTER_ADDRESS,COUNTRY_OF_ORIGIN' when 7 then 'BATCH_NUMBER' else 'PRODUCT_NAME' end as required_fields,
+ case k % 3 when 0 then 'VERIFIED' when 1 then 'UNVERIFIED' else 'SUPERSEDED' end as verification_status from t""")
+def derived_rules(spark, d):
+    k = F.col("p_partkey")
+    entry = F.struct(*[F.lit(None).cast("string").alias(f.name) for f in lib.LIBRARY_ENTRY.fields if f.name not in ("rule_id", "rule_no", "rule_title", "verification_status")],
+                     F.when(k % 20 == 4, "rule_06_1_e").otherwise(F.concat(F.lit("rule_"), k.cast("string"))).alias("rule_id"), k.cast("string").alias("rule_no"),
+                     F.element_at(F.array(*[F.lit(t) for t in TITLES]), (1 + k % 10).cast("int")).alias("rule_title"),
+                     F.when(k % 3 == 0, "MANDATORY").when(k % 3 == 1, "draft").otherwise("expired").alias("verification_status"))
+    docs = table(spark, d, "part").select(F.lit("v1").alias("version"), F.array(entry).alias("rules"))
+    r = lib.derive_rules(docs)
+    return r.select("rule_id", F.col("rule_number").cast("bigint").alias("rule_key"), "title", "requirement_type", F.array_join("required_fields", ",").alias("required_fields"), "verification_status")
+
+
 DEDUP_SQL = """with v as (select 'P' || cast(l_partkey as varchar) as product_id, case l_linenumber % 3 when 0 then 'RULE_06_MRP' when 1 then 'RULE_06_NET_QUANTITY' else 'RULE_06_DATE' end as rule_id,
   l_shipdate, l_orderkey, l_linenumber, 0.5 + l_discount as confidence from lineitem where l_returnflag = 'R'),
 f as (select *, substr(sha256(product_id || ':' || rule_id || ':' || rule_id || ':missing_declaration'), 1, 32) as fingerprint from v)

@@ -183,6 +183,23 @@ def label_entities(spark, d):
     return v.select("doc_id", "role", F.when((F.col("doc_id") % 6 == 5) & F.startswith("name", F.lit("Sunrise Packers")), "Sunrise Packers").otherwise(F.col("name")).alias("name"), "pin")
 
 
+def _copy(c: str) -> str:
+    return f"({q.m(c, lx.MARKETING)} or {q.m(c, lx.INGREDIENT)} or {q.any_contains(f'lower({c})', lx.FORMULATION_WORDS[:-3])})"
+
+
+def _near(c: str) -> str:
+    return f"case when {c} is not null and not {q.m(c, lx.CUTOFF)} and not coalesce({_copy(c)}, false) then {c} end"
+
+
+@query("address_fallbacks", "E14", WITH_LABEL_LINES + f"""
+, h as (select doc_id, arg_min(concat_ws(', ', text, {_near('prev1')}, {_near('next1')}, {_near('next2')}), line_index) as address from ctx where doc_id % 6 = 4 and {q.m(T, lx.ADDRESS_CUES)} and not {_copy(T)} group by 1)
+select doc_id, address, coalesce({q.g('address', lx.PIN)}, {q.g(T, lx.PIN)}) as pin from h join label_src using (doc_id)""")
+def address_fallbacks(spark, d):
+    lined = _lined(spark, d)
+    named = pa.commercial_entities(lined).select("doc_id").distinct()
+    return pa.address_fallback(lined.join(named, "doc_id", "left_anti")).select("doc_id", "address", "pin")
+
+
 @query("line_roles", "E15 E16", WITH_LABEL_LINES + f"""
 , r as (select doc_id, line_index, text, case {' '.join(f'when {q.m(T, p)} then {q.lit(n)}' for n, p in pa.ROLE_WORDS)} end as roles from lines)
 select doc_id, line_index, unnest(string_split(roles, ',')) as role, {q.m(T, pa.COMPANY)} as is_company from r where roles is not null""")

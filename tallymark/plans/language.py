@@ -401,6 +401,6 @@ select p_partkey, f.id as citation_id, coalesce(f.source, 'Legal Metrology (Pack
 from part left join f on f.c = case p_partkey % 3 when 0 then 'edible oil & fats' when 1 then 'agricultural / farm produce' else 'none' end""")
 def rule_citations(spark, d):
     kb = no.knowledge_entries(table(spark, d, "documents"), ["doc_id"]).withColumn("rule_number", F.col("product_category"))
-    checks = table(spark, d, "part").select("p_partkey", F.lit("x").alias("sub_rule"), F.element_at(
+    checks = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("sub_rule"), F.element_at(
         F.array(F.lit("Edible Oil & Fats"), F.lit("Agricultural / Farm Produce"), F.lit("none")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("rule_no"))
     return no.attach_citation(checks, kb).select("p_partkey", "citation_id", "citation_source")

