@@ -147,7 +147,9 @@ def heading_values(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     Expects the columns of ``explode_lines``.  A value line follows exactly one
     line, so it cannot be used twice.
     """
-    h = lines.withColumn("_h", heading_of(F.col("text"))).filter("_h is not null").withColumn("_n", heading_of(F.col("next1")))
+    # The generator drops lines without a heading; a filter would read each line twice.
+    found = F.filter(F.array(F.struct(heading_of(F.col("text")).alias("_h"))), lambda x: x["_h"].isNotNull())
+    h = lines.select(*lines.columns, F.inline(found)).withColumn("_n", heading_of(F.col("next1")))
     same = F.col("_h.value") != ""
     below = F.when(F.col("_n").isNull(), F.col("next1"))
     return h.select(*keys, "line_index", F.col("_h.field").alias("field"), F.when(same, F.col("_h.value")).otherwise(below).alias("value"),

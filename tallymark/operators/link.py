@@ -17,7 +17,7 @@ WEIGHTS = {
 CONTAINS = ("name", "maker")
 MATCHED, REVIEW = 0.70, 0.45
 ALL_PANELS = ("FRONT", "BACK", "LEFT", "RIGHT", "TOP", "BOTTOM", "SIDE")
-LEADERS_PER_ROUND = 64
+LEADERS_PER_ROUND = 256
 
 
 def identity(df: DataFrame, columns: dict[str, Column], out: str = "ident") -> DataFrame:
@@ -77,7 +77,9 @@ def leader_clusters(images: DataFrame, session: str, ord_col: str, per_round: in
     alone = keyed.filter(F.col("_self") < MATCHED).select(session, ord_col, F.col(ord_col).alias("cluster_ord"))
     able = keyed.filter(F.col("_self") >= MATCHED)
     unique = able.groupBy(session, "ident").agg(F.min(ord_col).alias("o"))
-    open_ = cut_lineage(unique)
+    # An explicit number keeps the comparisons spread: the rows are few bytes but much work.
+    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    open_ = cut_lineage(unique.repartition(parts, session, "o"))
     done = None
     while True:
         batch = _first_unassigned(open_, session, "o", per_round)
