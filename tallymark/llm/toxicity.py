@@ -20,8 +20,12 @@ from tallymark.llm.words import Chunk, bytes_of, chunks, mix, runs
 
 BITS = 20
 BIAS = 1 << BITS
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.5, 1.0
+EPOCHS = 6
+ALPHA, BETA, L2 = 1.0, 1.0, 0.1
+#: L1 grows with the sample, as the sums that it holds back do.
+L1_LEAST, L1_PER_ROW = 0.5, 5e-4
+#: A feature is let in when this many texts of the sample have it.
+MET = 4
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,12 +52,15 @@ def learn(targets: list[int], texts: Iterator[list[bytes]]) -> dict[int, float]:
         keys = np.unique((doc << np.int64(BITS)) | number)
         cut = np.searchsorted(keys >> np.int64(BITS), np.arange(len(run) + 1))
         rows += [np.append((keys[a:b] & np.int64(BIAS - 1)), BIAS).astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
+    met = np.bincount(np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64), minlength=BIAS + 1)
+    rows = [row[(met[row] >= MET) | (row == BIAS)] for row in rows]
     z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
+    l1 = max(L1_LEAST, L1_PER_ROW * len(rows))
 
     def weights(at) -> np.ndarray:
         held = z[at]
-        w = -(held - np.sign(held) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
-        return np.where(np.abs(held) <= L1, 0.0, w)
+        w = -(held - np.sign(held) * l1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
+        return np.where(np.abs(held) <= l1, 0.0, w)
 
     for _ in range(EPOCHS if len(set(targets)) > 1 else 1):
         for at, target in zip(rows, targets):
@@ -67,8 +74,11 @@ def learn(targets: list[int], texts: Iterator[list[bytes]]) -> dict[int, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict[int, float]:
-    """The non-zero weights, learnt from at most ``rows`` labelled documents outside the held-out fold (none: no weights, all scores 0.5)."""
-    return fit(labelled_sample(docs, labels, F.col("toxic"), rows), learn)
+    """The non-zero weights, learnt from at most ``rows`` labelled documents outside the held-out fold (none: no weights, all scores 0.5).
+
+    Half of the sample may be toxic, so that rare words of abuse are seen often enough.
+    """
+    return fit(labelled_sample(docs, labels, F.col("toxic"), rows, classes=(0, 1)), learn)
 
 
 def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:

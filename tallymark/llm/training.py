@@ -9,6 +9,7 @@ few enough to broadcast, and only the chosen texts leave the scan.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,14 +25,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, rows: int = TRAIN_ROWS) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, rows: int = TRAIN_ROWS, classes: tuple[int, ...] = ()) -> DataFrame:
     """(target int, text binary) of at most ``rows`` documents outside the held-out fold.
 
-    Labels without an id or a target are left out; of several labels of one id
+    With ``classes`` each of them gets an equal part of the bound at most.  Labels without an id or a target are left out; of several labels of one id
     the greatest counts; of several texts of one id the smallest.
     """
     named = labels.select("doc_id", target.cast("int").alias("target")).filter(F.col("doc_id").isNotNull() & F.col("target").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = named.groupBy("doc_id").agg(F.max("target").alias("target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    merged = named.groupBy("doc_id").agg(F.max("target").alias("target"))
+    parts = [merged.filter(F.col("target") == c) for c in classes] or [merged]
+    chosen = reduce(DataFrame.union, [part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // len(parts)) for part in parts])
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return texts.groupBy("doc_id", "target").agg(F.min("text").alias("text")).select("doc_id", "target", F.col("text").cast("binary").alias("text"))
 
