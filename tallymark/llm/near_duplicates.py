@@ -1,17 +1,26 @@
 """MinHash near-duplicates with tensored banding, candidates confirmed on full sets.
 
-Two small hash collections A (6 single minhashes) and B (9 pairs of minhashes)
-are computed; each of the 54 pairs (A_i, B_j) is a table key.  24 minhashes so
-do the work of 162.  A pair of similarity s meets in some table with probability
-(1 - (1 - s)^6) (1 - (1 - s^2)^9): 0.9992 at s = 0.75, 0.99995 at 0.8.
+A small collection of 16 hash groups of three minhashes each is computed; every
+pair of groups is a table key of six.  48 minhashes so do the work of 720.  A
+pair of texts of similarity s meets in a table when two groups agree:
+1 - (1 - s^3)^16 - 16 s^3 (1 - s^3)^15, which is 0.998 at s = 0.75 and 0.9998 at
+0.8, while texts that only share a passage (s = 0.2) meet with 0.008.
+
+A group value that no other text has cannot agree, so it is dropped before
+pairs are formed: texts without a relative give no table keys at all.
 
 Equal shingle sets are one node, so copies never make pairs.  Nodes that share
 a table key are first linked through the smallest node of the key: as many
 candidates as nodes, not all pairs.  Confirmed links give components; only where
-a key still holds several components are its nodes of different components
-compared with each other, so a candidate link is either confirmed, refuted, or
-lies within a component already.  Counting by key is pre-aggregated, and a hot
-key in a join is split by adaptive execution.
+a key still holds several components can a link be missing.  The nodes of such
+keys are compared by an exact rule, not by key: with a node's shingles in the
+order of how few open nodes hold them, two linked sets have a first common
+shingle early enough for what follows to reach the needed overlap.  Only pairs
+of different components that meet so are confirmed on their texts.  In a group
+of copies that were each edited on their own, edits come first in that order, so
+just the copies with hardly an edit meet.  A candidate link is thus confirmed,
+refuted exactly, or lies within a component already.  Counting by key is
+pre-aggregated, and a hot key in a join is split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -28,7 +37,7 @@ from tallymark.session import cut_lineage
 
 WIDTH = 5
 PERCENT = 75
-SINGLES, PAIRS = 6, 9
+GROUPS, ROWS = 16, 3
 #: Stands for a null id: one document, after all others.
 NO_ID = 2**63 - 1
 
@@ -42,7 +51,7 @@ def shingles(chunk: Chunk, i: int) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    minhashes = SINGLES + 2 * PAIRS
+    minhashes = GROUPS * ROWS
     seeds = mix(np.arange(minhashes, dtype=np.uint64), 99) | np.uint64(1)
     for batch in batches:
         texts = bytes_of(batch, "text")
@@ -65,12 +74,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 padded[place] = mix(flat, seed)
                 out.append(np.add.reduceat(padded, at))
             sizes.append(n)
-            two = signature[:, SINGLES:]
-            signed.append(np.hstack([signature[:, :SINGLES], mix(two[:, 0::2] ^ mix(two[:, 1::2], 31), 32)]))
+            groups = np.zeros((len(sets), GROUPS), dtype=np.uint64) + np.arange(GROUPS, dtype=np.uint64)
+            for k in range(ROWS):
+                groups = mix(groups ^ mix(signature[:, k::ROWS], 31 + k), 30)
+            signed.append(groups)
         if not texts:
             continue
         keys = np.concatenate(signed).view(np.int64)
-        lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, SINGLES + PAIRS, dtype=np.int32), pa.array(keys.ravel()))
+        lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, GROUPS, dtype=np.int32), pa.array(keys.ravel()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(s1).view(np.int64)), pa.array(np.concatenate(s2).view(np.int64)), lists], ["id", "t", "n", "s1", "s2", "signature"])
 
 
@@ -81,9 +92,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def table_keys(nodes: DataFrame) -> DataFrame:
-    """(key, id) for each node and table; the table's number is part of the key."""
-    combined = F.transform(F.sequence(F.lit(0), F.lit(SINGLES * PAIRS - 1)), lambda k: F.xxhash64(k, F.get(F.col("signature"), (k / PAIRS).cast("int")), F.get(F.col("signature"), F.lit(SINGLES) + k % PAIRS)))
-    return nodes.select("id", "n", F.explode(combined).alias("key"))
+    """(key, id, n): a key for every pair of those group values of a node that another node has too."""
+    values = nodes.select("id", "n", F.posexplode("signature").alias("group", "value"))
+    common = values.groupBy("value").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("value")
+    held = values.join(common, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("group", "value"))).alias("held"))
+    paired = F.flatten(F.transform("held", lambda x, i: F.transform(F.slice(F.col("held"), i + 2, F.lit(GROUPS)), lambda y: F.xxhash64(x["value"], y["value"]))))
+    return held.select("id", "n", F.explode(paired).alias("key"))
 
 
 def _alike(a: str, b: str):
@@ -114,6 +128,34 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a bigint, b bigint")
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(3).to_pylist()
+        for first, part in chunks(texts):
+            chunk = Chunk(part, table=LOWER)
+            sets = [shingles(chunk, i) for i in range(len(part))]
+            row = pa.array(np.repeat(np.arange(first, first + len(part)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(3)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "n", "label", "shingle"])
+
+
+def first_common(open_nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of open nodes (id, n, label) of different labels that can be linked.
+
+    A node's shingles are ordered by the number of open nodes that hold them; a
+    shingle at place p leaves n - p for the overlap if it is the first common
+    one.  Every linked pair is among the result.
+    """
+    rows = open_nodes.join(texts.select("id", "text"), "id").select("id", "n", "label", "text").mapInArrow(_shingle_rows, "id bigint, n bigint, label bigint, shingle bigint")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), (F.min("label") < F.max("label")).alias("crosses"))
+    ordered = rows.join(held, "shingle").groupBy("id", "n", "label").agg(F.sort_array(F.collect_list(F.struct("nodes", "shingle", "crosses"))).alias("by_rarity"))
+    early = F.slice("by_rarity", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
+    places = cut_lineage(ordered.select("id", "n", "label", F.posexplode(early).alias("place", "s")).filter("s.crosses").select(F.col("s.shingle").alias("shingle"), "id", "n", "label", (F.col("n") - F.col("place")).alias("rest")))
+    other = places.select("shingle", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("rest").alias("rest_b"))
+    enough = F.least("rest", "rest_b") * (100 + PERCENT) >= (F.col("n") + F.col("n_b")) * PERCENT
+    met = places.join(other, "shingle").filter((F.col("label") < F.col("label_b")) & enough)
+    return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every linked node; label is the smallest node it is linked to by any path.
 
@@ -144,25 +186,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     filled = rows.filter("n > 0")
     named = filled.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "t")).alias("first"), F.min("signature").alias("signature"))
     nodes = cut_lineage(named.select("s1", "s2", "n", F.col("first.id").alias("id"), F.col("first.t").alias("t"), "signature"))
-    keys = table_keys(nodes)
+    keys = cut_lineage(table_keys(nodes))
     heads = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("key", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"))
     shared = cut_lineage(keys.join(heads, "key"))
     first = cut_lineage(shared.filter((F.col("id") != F.col("head")) & _alike("n", "head_n")).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
 
     wanted = shared.select("id").distinct().join(nodes.select("id", "t"), "id").select("id", "t").distinct()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(wanted, ["id", "t"]).dropDuplicates(["id", "t"])
+    texts = cut_lineage(texts.join(wanted, ["id", "t"]).dropDuplicates(["id", "t"]).select("id", "text"))
     linked = cut_lineage(confirm(first, texts))
     labels = components(linked)
 
-    # Keys that still hold several components: nodes of different ones are compared, unless they have been.
+    # Nodes of keys that still hold several components.
     placed = shared.select("key", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     several = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    open_rows = cut_lineage(placed.join(several, "key"))
-    other = open_rows.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    met = open_rows.join(other, "key").filter((F.col("label") < F.col("label_b")) & _alike("n", "n_b"))
-    second = met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut_lineage(confirm(second, texts))
+    open_nodes = cut_lineage(placed.join(several, "key").select("id", "n", "label").distinct())
+    more = cut_lineage(confirm(first_common(open_nodes, texts).join(first, ["a", "b"], "left_anti"), texts))
 
     # Rows of one id with different sets belong together as well.
     member = rows.filter("n > 0").select(F.col("id").alias("member"), "s1", "s2").distinct().join(nodes.select("s1", "s2", "id"), ["s1", "s2"])
