@@ -40,8 +40,10 @@ WIDTH = 13
 ANCHOR = 3
 LEVELS = (1, 2, 3)
 CLASSES = 4096
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 10 << 20
 CHUNK = 4 << 20
+#: Of zstandard; what is packed is shuffled.
+LEVEL = 6
 #: Stands for a null id: one document, after all others.
 NO_ID = 2**63 - 1
 
@@ -140,8 +142,8 @@ class Leaves:
         first = self.place[begins]
         low, high = self.starts[first], self.ends[first + n + WIDTH - 2]
         text = b" ".join([self.joined[a:b] for a, b in zip(low.tolist(), high.tolist())])
-        head = [self.ids[begins].astype("<i8"), self.at[begins].astype("<i4"), self.tags[begins].astype("<i4"), n.astype("<i4")]
-        return zstandard.ZstdCompressor(3).compress(struct.pack("<q", len(begins)) + b"".join(x.tobytes() for x in head) + text)
+        head = [np.diff(self.ids[begins], prepend=np.int64(0)).astype("<i8"), self.at[begins].astype("<i4"), self.tags[begins].astype("<i4"), n.astype("<i4")]
+        return zstandard.ZstdCompressor(LEVEL).compress(struct.pack("<q", len(begins)) + b"".join(x.tobytes() for x in head) + text)
 
 
 def unpack(payloads: list[bytes]) -> Leaves:
@@ -150,7 +152,7 @@ def unpack(payloads: list[bytes]) -> Leaves:
     for payload in payloads:
         raw = zstandard.ZstdDecompressor().decompress(payload)
         (n,) = struct.unpack_from("<q", raw)
-        heads.append([np.frombuffer(raw, "<i8", n, 8), *(np.frombuffer(raw, "<i4", n, 8 + (8 + 4 * k) * n) for k in range(3))])
+        heads.append([np.cumsum(np.frombuffer(raw, "<i8", n, 8)), *(np.frombuffer(raw, "<i4", n, 8 + (8 + 4 * k) * n) for k in range(3))])
         texts.append(raw[8 + 20 * n :])
     ids, at, tags, n = (np.concatenate([h[k] for h in heads]).astype(np.int64) for k in range(4))
     chunk = Chunk(texts)
