@@ -30,7 +30,7 @@ def main() -> None:
     data_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = sys.argv[1:] or HEADLINE
-    spark = build_session("bench", f"local[{cpus}]", int(cpus), {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
+    spark = build_session("bench", f"local[{cpus}]", int(cpus), {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g", "tallymark.spread": cpus})
     spark.sparkContext.setLogLevel("OFF")
     catalogue = load_catalogue()
     spark.range(1000).selectExpr("sum(id)").collect()

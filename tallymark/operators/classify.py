@@ -182,12 +182,12 @@ def generic_name(grams: Column) -> Column:
 
 def category_signals(grams: Column) -> Column:
     """Ranked candidates: array<struct<hits,ord,category,confidence,evidence>>."""
-    table = [0.0, *[round(min(0.98, k / (k + 2)), 2) for k in range(1, 25)]]
+    surely = lambda k: F.least(F.lit(0.98), F.round(k / (k + 2), 2))
 
     def entry(order: int, name: str):
         return lambda hits: F.struct(
             F.size(hits).alias("hits"), F.lit(-order).alias("ord"), F.lit(name).alias("category"),
-            _steps(table, F.size(hits)).alias("confidence"), F.slice(hits, 1, 6).alias("evidence"))
+            surely(F.size(hits)).alias("confidence"), F.slice(hits, 1, 6).alias("evidence"))
 
     entries = [F.transform(F.array(known_words(grams, words)), entry(i, name)) for i, (name, words) in enumerate(lx.SIGNAL_WORDS.items())]
     return F.sort_array(F.filter(F.concat(*entries), lambda e: e["hits"] > 0), asc=False)

@@ -51,7 +51,7 @@ def fold_best_field(fields: Column) -> Column:
     def step(kept: Column, f: Column) -> Column:
         better = ((f["status"] == "Found") & (kept["status"] != "Found")) | ((f["confidence"] > kept["confidence"]) & (kept["status"] != "Defective"))
         return F.when(better, f).otherwise(kept)
-    return F.aggregate(F.slice(fields, 2, 1_000_000), F.get(fields, F.lit(0)), step)
+    return F.aggregate(F.slice(fields, F.lit(2), F.greatest(F.size(fields) - 1, F.lit(0))), F.get(fields, F.lit(0)), step)
 
 
 def first_found_field(fields: DataFrame, keys: list[str], ord_col: str = "ord") -> DataFrame:

@@ -110,12 +110,12 @@ def entity_links(entities: DataFrame, product: str = "product_id", ord_col: str
     """
     e = entities.filter(F.col("name").isNotNull() & (F.col("name") != "NOT_VISIBLE"))
     e = e.withColumn("_role", F.upper("role")).withColumn("_name", F.lower(F.trim("name"))).withColumn("_seg", F.floor(F.col(ord_col) / segment_size))
-    fields = ["image_id", "name", "address", "confidence", "role"]
+    fields = [ord_col, "image_id", "name", "address", "confidence", "role"]
 
     def chain(key: str) -> DataFrame:
         return carry.lag_across(e, [product, key], "_seg", [ord_col], fields, prefix="p_").filter("p_image_id is not null and p_image_id <> image_id")
 
-    both = chain("_role").unionByName(chain("_name")).dropDuplicates([product, "p_image_id", "image_id", "p_role", "role"])
+    both = chain("_role").unionByName(chain("_name")).dropDuplicates([product, f"p_{ord_col}", ord_col])
     address = F.when(F.col("p_address") == F.col("address"), F.col("address")).otherwise(F.concat_ws(", ", "p_address", "address"))
     lead = F.when(F.col("p_address").isNull() & F.col("address").isNotNull(), F.col("name")).otherwise(F.col("p_name"))
     return both.select(

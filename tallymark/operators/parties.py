@@ -259,7 +259,7 @@ def decompose_address(lines: Column) -> Column:
         r"(?i)^(?:manufactured\s*(?:and\s*packaged\s*)?by|mfd\.?\s*by|packed\s*by|pkd\.?\s*by|imported\s*by|marketed\s*by|produced\s*by)[:.\-\s]*"), ""))
     second = tx.strip(F.get(lines, F.lit(1)))
     wrapped = tx.has(second, r"(?i)^(?:Limited|Ltd\.?|LLP|Inc\.?|Corporation)\b")
-    rest = F.slice(lines, F.when(wrapped, 3).otherwise(2), 1000)
+    rest = F.slice(lines, F.when(wrapped, 3).otherwise(2), F.greatest(F.size(lines), F.lit(0)))
     street = F.array_join(F.filter(F.transform(rest, tx.strip), lambda l: l != ""), ", ")
     return F.struct(F.when(wrapped, F.concat_ws(" ", first, second)).otherwise(first).alias("company"), street.alias("street"),
                     listed(CITIES).alias("city"), listed(STATES).alias("state"), tx.grab(full, lx.PIN).alias("pin"))

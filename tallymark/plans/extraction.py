@@ -180,7 +180,7 @@ select doc_id, case r when 0 then 'MANUFACTURER' when 1 then 'MANUFACTURER' when
   case when r = 2 then '122015' else nullif(regexp_extract(city, '([1-9][0-9]{5})', 1), '') end as pin, plot, city from k where r <> 4""".replace(", plot, city from k", " from k"))
 def label_entities(spark, d):
     v = pa.commercial_entities(_lined(spark, d))
-    return v.select("doc_id", "role", F.when((F.col("doc_id") % 6 == 5) & F.startswith("name", F.lit("Sunrise Packers")), "Sunrise Packers").otherwise(F.col("name")).alias("name"), "pin")
+    return v.select("doc_id", "role", "name", "pin")
 
 
 def _copy(c: str) -> str:
