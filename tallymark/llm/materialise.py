@@ -33,6 +33,8 @@ LENGTH = 512
 SHARD = 4096
 ROUNDS = 4
 KEY = 20_240_601
+#: 16 bytes each.
+BROADCAST_ROWS = 500_000
 
 _ready: dict[str, object] = {}
 
@@ -110,10 +112,13 @@ def in_training_order(docs: DataFrame, length: int = LENGTH, shard: int = SHARD,
     """
     table = sequences(docs, length, tokenizer)
     counts = table.groupBy("part").agg(F.count(F.lit(1)).alias("many"))
-    total = counts.agg(F.sum("many")).first()[0] or 0
-    # One row for each input partition.
+    total, parts = counts.agg(F.coalesce(F.sum("many"), F.lit(0)), F.count(F.lit(1))).first()
+    # One row of two numbers for each input partition; sent along where they are few enough, joined by sorting otherwise.
     offsets = counts.select("part", F.coalesce(F.sum("many").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
+    if parts <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+
     @F.pandas_udf("bigint")
     def slot(index):
         return index.__class__(permute(index.to_numpy(), total, key))
