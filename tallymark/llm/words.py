@@ -15,7 +15,7 @@ import pyarrow as pa
 #: Fixed values of the contracts: the white space that separates words, and the
 #: ASCII bytes that belong to words of the decontamination rule.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 IN_WORD = np.array([b not in SPACES for b in range(256)])
