@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.lines import STRIP, key_of, wide_hash
+from tallymark.session import cut_lineage
 
 #: Fixed values of the contract.
 MIN_WORDS = 50
@@ -25,6 +26,8 @@ GAP, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 #: A line is above a host's limit in more documents than both of these say.
 LINE_DOCS = 10
 LINE_PERCENT = 5
+#: Lines above a limit that are broadcast, of some 40 bytes each.
+SENT_ROWS = 100_000
 #: A document is depleted when less than this part of its words is left.
 LEAST_LEFT_PERCENT = 50
 
@@ -58,12 +61,14 @@ def depletion(docs: DataFrame) -> DataFrame:
     """
     lines = docs.select("doc_id", "t1", "t2", F.col("source").alias("host"), F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.col("line").rlike(WORD))
     hashed = lines.select("doc_id", "t1", "t2", "host", *wide_hash(key_of(F.col("line"))), F.regexp_count("line", F.lit(WORD)).alias("n"))
-    held = hashed.groupBy("host", "h1", "h2", "doc_id", "t1", "t2").agg(F.sum("n").alias("n"))
-    one_each = held.groupBy("host", "h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
+    one_each = hashed.groupBy("host", "h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     often = one_each.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > LINE_DOCS)
     hosts = docs.groupBy("source", "doc_id").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
     above = often.join(hosts, often.host.eqNullSafe(hosts.source)).filter(F.col("docs") * 100 > F.col("host_docs") * LINE_PERCENT).select(F.col("host").alias("at"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
-    lost = held.join(above, held.host.eqNullSafe(above["at"]) & (held.h1 == above.k1) & (held.h2 == above.k2))
+    above = cut_lineage(above)
+    # A host has few lines above its limit, so they are counted and sent along; beyond the bound the lines meet them by sorting.
+    sent = F.broadcast(above) if above.count() <= SENT_ROWS else above
+    lost = hashed.join(sent, hashed.host.eqNullSafe(sent["at"]) & (hashed.h1 == sent.k1) & (hashed.h2 == sent.k2))
     return lost.groupBy("doc_id", "t1", "t2", "host").agg(F.sum("n").alias("n_lost"))
 
 
