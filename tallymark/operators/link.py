@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators import carry
@@ -17,7 +17,6 @@ WEIGHTS = {
 CONTAINS = ("name", "maker")
 MATCHED, REVIEW = 0.70, 0.45
 ALL_PANELS = ("FRONT", "BACK", "LEFT", "RIGHT", "TOP", "BOTTOM", "SIDE")
-LEADERS_PER_ROUND = 256
 
 
 def identity(df: DataFrame, columns: dict[str, Column], out: str = "ident") -> DataFrame:
@@ -54,50 +53,85 @@ def anchor_matches(images: DataFrame, session: str, ord_col: str) -> DataFrame:
     return both.withColumn("anchor", F.col("a.anchor_ord")).withColumn("status", match_status(F.col("score"))).drop("a")
 
 
-def _first_unassigned(rows: DataFrame, session: str, ord_col: str, n: int, salts: int = 32) -> DataFrame:
-    """The first ``n`` rows per session, chosen in two steps so that a hot session is split."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(ord_col), F.lit(salts)))
-    local = Window.partitionBy(session, "_salt").orderBy(ord_col)
-    short = salted.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= n)
-    whole = Window.partitionBy(session).orderBy(ord_col)
-    return short.withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= n).drop("_r", "_salt")
+GRAM = 3
 
 
-def leader_clusters(images: DataFrame, session: str, ord_col: str, per_round: int = LEADERS_PER_ROUND) -> DataFrame:
+def _block_keys(nodes: DataFrame, session: str) -> tuple[DataFrame, DataFrame]:
+    """Keys that every two matching identities share: (asking rows, answering rows).
+
+    By the weights above a score of 0.70 is out of reach unless one of these
+    holds: equal models; equal SKUs; equal brands with two of category, variant
+    and pack; or one name inside the other with an equal brand, category or
+    variant.  For the last a name asks by its rarest three letters and answers
+    by all of its letter triples; names of one or two letters ask by the
+    attribute alone.
+    """
+    ident = lambda n: F.col(f"ident.{n}")
+
+    def key(kind: str, *parts: Column) -> Column:
+        whole = parts[0].isNotNull()
+        for p in parts[1:]:
+            whole = whole & p.isNotNull()
+        return F.when(whole, F.xxhash64(F.lit(kind), *parts))
+
+    equal = [key("model", ident("model")), key("sku", ident("sku"))]
+    equal += [key("".join(two), ident("brand"), *[ident(n) for n in two]) for two in (("category", "variant"), ("category", "pack"), ("variant", "pack"))]
+    equal_rows = nodes.select(session, "o", "ident", F.explode(F.array_compact(F.array(*equal))).alias("key"))
+    name = ident("name")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - (GRAM - 1)), lambda i: F.substring(name, i, F.lit(GRAM))))
+    kinds = F.filter(F.array(*[F.struct(F.lit(n).alias("kind"), ident(n).alias("value")) for n in ("brand", "category", "variant")]), lambda k: k["value"].isNotNull())
+    named = nodes.filter(name.isNotNull()).select(session, "o", "ident", F.explode(kinds).alias("k"), F.when(F.length(name) >= GRAM, grams).otherwise(F.array().cast("array<string>")).alias("grams"))
+    short = F.size("grams") == 0
+    parts = named.select(session, "o", "ident", "k.kind", short.alias("short"), F.col("k.value").alias("value"), F.explode(F.concat("grams", F.array(F.lit("")))).alias("gram"))
+    answers = cut_lineage(parts.select(session, "o", "ident", "kind", "short", (F.col("gram") == "").alias("bare"), F.xxhash64("kind", "value", "gram").alias("key")))
+    often = answers.groupBy(session, "key").agg(F.count(F.lit(1)).alias("many"))
+    rarest = F.min_by("key", F.struct(F.col("bare") != F.col("short"), "many", "key"))
+    asks = answers.join(often, [session, "key"]).groupBy(session, "o", "kind").agg(F.first("ident").alias("ident"), rarest.alias("key")).select(session, "o", "ident", "key", F.lit(False).alias("equal"))
+    return (equal_rows.withColumn("equal", F.lit(True)).unionByName(asks),
+            equal_rows.withColumn("equal", F.lit(True)).unionByName(answers.select(session, "o", "ident", "key", F.lit(False).alias("equal"))))
+
+
+def match_edges(nodes: DataFrame, session: str) -> DataFrame:
+    """(session, a, b) of all distinct identities a < b of a session that match; only pairs of a common key are scored."""
+    asks, answers = _block_keys(nodes, session)
+    other = answers.select(session, "key", "equal", F.col("o").alias("o2"), F.col("ident").alias("ident2"))
+    met = asks.join(other, [session, "key", "equal"]).filter((F.col("o") < F.col("o2")) | (~F.col("equal") & (F.col("o") != F.col("o2"))))
+    return met.filter(pair_score(F.col("ident"), F.col("ident2")) >= MATCHED).select(session, F.least("o", "o2").alias("a"), F.greatest("o", "o2").alias("b")).distinct()
+
+
+def leader_clusters(images: DataFrame, session: str, ord_col: str) -> DataFrame:
     """Cluster of each image: the first earlier leader that matches it, else itself.
 
     Exact, without comparing all pairs.  Equal identities are collapsed first.
     An identity whose match with itself stays below the cut-off can match
     nothing (no partner scores higher than it does), so it is a cluster of its
-    own.  The others go in rounds: the first open identities of each session
-    settle their leaders among themselves, then every open identity is compared
-    with those few leaders.  Returns (session, ord, cluster_ord).
+    own.  The others meet by keys (:func:`match_edges`).  On the sparse list of
+    matches, an identity without an open earlier match leads and those it
+    matches follow; both leave, until no match is open.  That takes as many
+    rounds as the longest chain of leaders that wait for one another.  Returns
+    (session, ord, cluster_ord).
     """
     keyed = images.select(session, ord_col, "ident").withColumn("_self", pair_score(F.col("ident"), F.col("ident")))
     alone = keyed.filter(F.col("_self") < MATCHED).select(session, ord_col, F.col(ord_col).alias("cluster_ord"))
     able = keyed.filter(F.col("_self") >= MATCHED)
-    unique = able.groupBy(session, "ident").agg(F.min(ord_col).alias("o"))
-    # An explicit number keeps the comparisons spread: the rows are few bytes but much work.
-    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    open_ = cut_lineage(unique.repartition(parts, session, "o"))
-    done = None
-    while True:
-        batch = _first_unassigned(open_, session, "o", per_round)
-        ordered = batch.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("o", "ident"))).alias("batch"))
-        leaders = ordered.select(session, F.aggregate(
-            "batch", F.slice("batch", 1, 0),
-            lambda acc, x: F.when(F.exists(acc, lambda l: pair_score(l["ident"], x["ident"]) >= MATCHED), acc).otherwise(F.concat(acc, F.array(x)))).alias("leaders"))
-        scored = open_.join(leaders, session)
-        hit = F.get(F.filter("leaders", lambda l: (l["o"] == F.col("o")) | ((l["o"] < F.col("o")) & (pair_score(l["ident"], F.col("ident")) >= MATCHED))), F.lit(0))
-        scored = cut_lineage(scored.select(session, "ident", "o", hit["o"].alias("cluster_ord")))
-        settled = scored.filter("cluster_ord is not null")
-        done = settled if done is None else done.unionByName(settled)
-        open_ = scored.filter("cluster_ord is null").select(session, "ident", "o")
-        if open_.isEmpty():
-            break
-    same = [F.col(f"i.{session}") == F.col(f"d.{session}"), F.col("i.ident").eqNullSafe(F.col("d.ident"))]
-    joined = able.alias("i").join(done.alias("d"), same[0] & same[1]).select(F.col(f"i.{session}").alias(session), F.col(f"i.{ord_col}").alias(ord_col), "cluster_ord")
-    return joined.unionByName(alone)
+    unique = cut_lineage(able.groupBy(session, "ident").agg(F.min(ord_col).alias("o")))
+    edges = cut_lineage(match_edges(unique, session))
+    open_, followers = edges, None
+    while not open_.isEmpty():
+        leading = open_.select(session, "a").join(open_.select(session, F.col("b").alias("a")), [session, "a"], "left_anti").distinct()
+        led = cut_lineage(open_.join(leading, [session, "a"], "left_semi").select(session, "b").distinct())
+        followers = led if followers is None else followers.unionByName(led)
+        open_ = cut_lineage(open_.join(led, [session, "b"], "left_anti").join(led.withColumnRenamed("b", "a"), [session, "a"], "left_anti"))
+    own = unique.select(session, "ident", "o")
+    if followers is not None:
+        first = edges.join(followers.withColumnRenamed("b", "a"), [session, "a"], "left_anti").join(followers, [session, "b"], "left_semi")
+        first = first.groupBy(session, F.col("b").alias("o")).agg(F.min("a").alias("leader"))
+        own = own.join(first, [session, "o"], "left")
+    else:
+        own = own.withColumn("leader", F.lit(None).cast(unique.schema["o"].dataType))
+    done = own.select(session, "ident", F.coalesce("leader", "o").alias("cluster_ord"))
+    joined = able.alias("i").join(done.alias("d"), (F.col(f"i.{session}") == F.col(f"d.{session}")) & F.col("i.ident").eqNullSafe(F.col("d.ident")))
+    return joined.select(F.col(f"i.{session}").alias(session), F.col(f"i.{ord_col}").alias(ord_col), "cluster_ord").unionByName(alone)
 
 
 def entity_links(entities: DataFrame, product: str = "product_id", ord_col: str = "ord", segment_size: int = 10_000) -> DataFrame:

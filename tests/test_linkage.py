@@ -45,7 +45,25 @@ def test_leader_clusters_equal_brute_force(spark):
     flat = [(s, o, i["brand"], i["name"], i["category"], i["pack"], i["model"], i["maker"]) for s, o, i in rows]
     df = spark.createDataFrame(flat, "session string, ord int, brand string, name string, category string, pack string, model string, maker string")
     df = lk.identity(df, {c: F.col(c) for c in ("brand", "name", "category", "pack", "model", "maker")})
-    got = {(r.session, r.ord): r.cluster_ord for r in lk.leader_clusters(df, "session", "ord", per_round=3).collect()}
+    got = {(r.session, r.ord): r.cluster_ord for r in lk.leader_clusters(df, "session", "ord").collect()}
+    assert got == brute_clusters(rows)
+
+
+def test_every_kind_of_match_has_a_common_key(spark):
+    rnd = random.Random(11)
+    pool = {"brand": ["a", "b"], "name": ["te", "a", "tea", "green tea", "steam"], "category": ["food", "home"], "variant": ["v1", "v2"], "pack": ["5 g", "9 g"], "model": ["m1", "m2"],
+            "sku": ["s1", "s2"], "maker": ["acme", "acme ltd"], "batch": ["b1", "b2"]}
+    rows = [("hot" if o % 3 else "cold", o, {k: rnd.choice(v) if rnd.random() < (0.25 if k in ("model", "sku") else 0.7) else None for k, v in pool.items()}) for o in range(400)]
+    df = spark.createDataFrame([(s, o, *[i[k] for k in pool]) for s, o, i in rows], "session string, ord int, " + ", ".join(f"{k} string" for k in pool))
+    df = lk.identity(df, {c: F.col(c) for c in pool})
+    first = {}
+    for s, o, i in rows:
+        first.setdefault((s, tuple(i.values())), (s, o, i))
+    able = [r for r in first.values() if score(r[2], r[2]) >= lk.MATCHED]
+    want = {(a[0], a[1], b[1]) for a in able for b in able if a[0] == b[0] and a[1] < b[1] and score(a[2], b[2]) >= lk.MATCHED}
+    nodes = df.groupBy("session", "ident").agg(F.min("ord").alias("o")).filter(lk.pair_score(F.col("ident"), F.col("ident")) >= lk.MATCHED)
+    assert {tuple(r) for r in lk.match_edges(nodes, "session").collect()} == want and len(want) > 50
+    got = {(r.session, r.ord): r.cluster_ord for r in lk.leader_clusters(df, "session", "ord").collect()}
     assert got == brute_clusters(rows)
 
 
