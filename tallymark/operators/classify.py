@@ -91,7 +91,14 @@ def line_class(text: Column, prev1: Column, prev2: Column) -> Column:
     address = ~_contains_word(low, lx.FORMULATION_WORDS) & has(lx.ADDRESS_CUES) & (has(lx.PIN) | has(lx.ADDRESS_STRONG))
     vowels = F.length(F.regexp_replace(low, "[^aeiou]", ""))
     noise = has(lx.NOISE_TOKENS) & ~has(lx.NOISE_EXEMPT) & (vowels <= 1) & (F.length(F.replace(t, F.lit(" "), F.lit(""))) >= 5)
-    commodity = tx.has(low, tx.any_word([w for w, _ in lx.commodity_words()]))
+    commodity = F.size(word_grams(low, [w for w, _ in lx.commodity_words()])) > 0
+    # One branch for all addresses: a condition that stands in several branches is evaluated in each.
+    owner = (
+        F.when(linked(r"(?i)\b(?:marketed|mktg|distributed)\b"), verdict("MARKETER_ADDRESS", 0.93))
+        .when(linked(r"(?i)\b(?:packed|pkd)\b"), verdict("PACKER_ADDRESS", 0.93))
+        .when(linked(r"(?i)\b(?:imported|importer)\b"), verdict("IMPORTER_ADDRESS", 0.93))
+        .otherwise(verdict("MANUFACTURER_ADDRESS", 0.93))
+    )
     return (
         F.when(t == "", verdict("UNKNOWN", 0.0))
         .when(has(lx.MARKETING) | has(lx.MARKETING_START), verdict("MARKETING_CLAIM", 0.95))
@@ -118,10 +125,7 @@ def line_class(text: Column, prev1: Column, prev2: Column) -> Column:
         .when(has(lx.MANUFACTURER_START), verdict("MANUFACTURER_NAME", 0.95))
         .when(has(lx.PACKER_START), verdict("PACKER_NAME", 0.95))
         .when(has(lx.IMPORTER_START), verdict("IMPORTER_NAME", 0.95))
-        .when(address & linked(r"(?i)\b(?:marketed|mktg|distributed)\b"), verdict("MARKETER_ADDRESS", 0.93))
-        .when(address & linked(r"(?i)\b(?:packed|pkd)\b"), verdict("PACKER_ADDRESS", 0.93))
-        .when(address & linked(r"(?i)\b(?:imported|importer)\b"), verdict("IMPORTER_ADDRESS", 0.93))
-        .when(address, verdict("MANUFACTURER_ADDRESS", 0.93))
+        .when(address, owner)
         .when(commodity, verdict("GENERIC_NAME", 0.94))
         .when(noise, verdict("UNKNOWN", 0.40))
         .when(has(lx.LICENCE), verdict("OTHER_TEXT", 0.90))

@@ -174,8 +174,14 @@ def ambiguous(field: Column) -> Column:
     return field["semantic_type"].isin("UNKNOWN", "PRICE_CANDIDATE", "OTHER") | (field["confidence"] < 0.60) | ((field["confidence"] < 0.80) & F.coalesce(close, F.lit(False)))
 
 
+def with_review_status(fields: DataFrame) -> DataFrame:
+    """Add ``status``: NEEDS_REVIEW for open meanings, else CONFIRMED."""
+    return fields.withColumn("status", F.when(ambiguous(F.col("field")), "NEEDS_REVIEW").otherwise("CONFIRMED"))
+
+
 def split_ambiguous(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    marked = fields.withColumn("status", F.when(ambiguous(F.col("field")), "NEEDS_REVIEW").otherwise("CONFIRMED"))
+    """Confirmed and open rows as two views; read both from :func:`with_review_status` where both are needed."""
+    marked = with_review_status(fields)
     return marked.filter("status = 'CONFIRMED'"), marked.filter("status = 'NEEDS_REVIEW'")
 
 

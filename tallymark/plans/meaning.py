@@ -71,9 +71,7 @@ def party_meanings(spark, d):
 
 @query("semantic_fields", "E28 E29 E36 A14")
 def semantic_fields(spark, d):
-    f = it.semantic_fields(_lines(spark, d))
-    confirmed, open_ = it.split_ambiguous(f)
-    rows = it.evidence_map(confirmed.unionByName(open_), ["doc_id", "status"])
+    rows = it.evidence_map(it.with_review_status(it.semantic_fields(_lines(spark, d))), ["doc_id", "status"])
     return rows.groupBy("field_name", "status").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("doc_id").alias("labels"))
 
 
