@@ -33,11 +33,20 @@ DATE_WORDS = {
     "BEST_BEFORE_DATE": (0.95, r"(?i)\bbest\s+before\b"),
 }
 PARTY_WORDS = {
-    "MARKETER_NAME": r"(?i)\b(?:marketed\s+by|mkt\s+by)\b",
-    "PACKER_NAME": r"(?i)\b(?:packed\s+by|pkd\s+by)\b",
-    "IMPORTER_NAME": r"(?i)\b(?:imported\s+by|imp\s+by)\b",
-    "MANUFACTURER_NAME": r"(?i)\b(?:manufactured\s+by|mfd\s+by|produced\s+by)\b",
+    "MARKETER_NAME": r"(?:marketed\s+by|mkt\s+by)",
+    "PACKER_NAME": r"(?:packed\s+by|pkd\s+by)",
+    "IMPORTER_NAME": r"(?:imported\s+by|imp\s+by)",
+    "MANUFACTURER_NAME": r"(?:manufactured\s+by|mfd\s+by|produced\s+by)",
 }
+FIRM = (
+    r"(?i)\b(?:pvt\.?\s*ltd\.?|private\s+limited|ltd\.?|limited|llp|inc\.?|corp\.?|corporation|industries|enterprises|laboratories|labs|foods|pharma|cosmetics|"
+    r"confectionery|beverages|products)\b"
+)
+# fixed values: words of an address line
+ADDRESS_WORDS = (
+    r"(?i)\b(?:plot|survey|khasra|bldg|building|floor|industrial\s+area|ind\.\s*area|g\.?i\.?d\.?c\.?|m\.?i\.?d\.?c\.?|estate|sector|phase|nagar|marg|road|street|"
+    r"lane|chowk|village|dist\.?|district|taluka|tehsil|near|opp\.?|opposite|post|p\.?o\.?|state)\b"
+)
 LETTERS = r"[a-zA-Z]{3,}"
 
 RESULT = "struct<semantic_type:string,value:string,confidence:double,candidates:array<struct<confidence:double,type:string>>>"
@@ -123,17 +132,17 @@ def _party(text: Column, section: Column, heading: Column) -> Column:
     t = tx.strip(text)
     pin = tx.grab(text, lx.PIN)
     near = heading.isin("MANUFACTURER_ADDRESS", "PACKER_ADDRESS", "MARKETER_ADDRESS", "ADDRESS") | section.isin("MANUFACTURER_INFORMATION", "PACKER_INFORMATION", "MARKETER_INFORMATION")
-    firm = tx.has(text, r"(?i)\b(?:pvt\.?\s*ltd\.?|private\s+limited|ltd\.?|limited|llp|inc\.?|corp\.?|corporation|industries|enterprises|laboratories|labs|foods|pharma|cosmetics|confectionery|beverages|products)\b")
+    firm = tx.has(text, FIRM)
     out = (F.when(section == "INGREDIENTS", verdict("INGREDIENTS", t, 0.98, [("INGREDIENTS", 0.98)]))
            .when((t == pin) & F.coalesce(near, F.lit(False)), verdict("POSTAL_PIN", pin, 0.90, [("POSTAL_PIN", 0.90), ("BATCH_NUMBER", 0.10)]))
            .when(t == pin, verdict("UNKNOWN", pin, 0.40, [("POSTAL_PIN", 0.45), ("PRODUCT_CODE", 0.35), ("BATCH_NUMBER", 0.20)])))
     for kind, words in PARTY_WORDS.items():
-        name = tx.strip(F.regexp_replace(text, "(?i)^" + words.replace("(?i)", "").replace(r"\b", "") + r"[:\s\-]*", ""))
-        out = out.when(firm & ((heading == kind) | tx.has(text, words)), verdict(kind, name, 0.98, [(kind, 0.98)]))
+        name = tx.strip(F.regexp_replace(text, "(?i)^" + words + r"[:\s\-]*", ""))
+        out = out.when(firm & ((heading == kind) | tx.has(text, rf"(?i)\b{words}\b")), verdict(kind, name, 0.98, [(kind, 0.98)]))
     for kind in ("MARKETER", "PACKER", "MANUFACTURER"):
         out = out.when(firm & (section == f"{kind}_INFORMATION"), verdict(f"{kind}_NAME", t, 0.95, [(f"{kind}_NAME", 0.95)]))
     out = out.when(firm, verdict("MANUFACTURER_NAME", t, 0.80, [("MANUFACTURER_NAME", 0.50), ("MARKETER_NAME", 0.30), ("PACKER_NAME", 0.20)]))
-    words = tx.has(text, pa.PLACE_WORDS.replace("|city|state", "|state"))
+    words = tx.has(text, ADDRESS_WORDS)
     low = F.lower(text)
     state = F.lit(False)
     for s in pa.PLACES:

@@ -91,9 +91,9 @@ def price_detection(spark, d):
 
 
 @query("price_near_word", "E4 J19", """
-select p_partkey as id, case when p_size < 25 then round(p_retailprice, 2) end as price from part where p_retailprice >= 10""")
+select p_partkey as id, case when p_size < 25 then round(p_retailprice, 2) end as price from part""")
 def price_near_word(spark, d):
-    p = table(spark, d, "part").filter("p_retailprice >= 10")
+    p = table(spark, d, "part")
     word = lambda t, x0, x1, y0: F.struct(t.alias("text"), x0.cast("double").alias("x0"), x1.cast("double").alias("x1"), y0.cast("double").alias("y0"))
     price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
     ws = F.array(word(F.lit("Brand"), F.lit(0), F.lit(40), F.lit(0)), word(F.lit("MRP"), F.lit(10), F.lit(50), F.lit(100)),

@@ -9,10 +9,11 @@ from tallymark.functions import text as tx
 from tallymark.operators import extract as ex
 from tallymark.operators import interpret as it
 from tallymark.operators import layout as ly
+from tallymark.plans import extraction  # noqa: F401  (its SQL is part of full_label_parse)
 from tallymark.plans import sqltext as q
-from tallymark.plans.labels import WITH_LABEL_LINES, labels
+from tallymark.plans.labels import SQL_LABELS, WITH_LABEL_LINES, labels
 from tallymark.plans.layout import _header_sql, _heading_sql
-from tallymark.plans.registry import query, table
+from tallymark.plans.registry import CATALOGUE, query, table
 from tallymark.sources import transcripts as tr
 
 
@@ -63,13 +64,44 @@ def quantity_meanings(spark, d):
     return v.select("doc_id", "line_index", "v.semantic_type")
 
 
-@query("party_meanings", "E17")
+def _party_steps() -> list[tuple[str, str, str, str]]:
+    """Condition, type, value and confidence, in order."""
+    pin, firm = q.g("text", lx.PIN), q.m("text", it.FIRM)
+    named = lambda h: f"coalesce(heading = '{h}', false)"
+    about = lambda k: f"section = '{k}_INFORMATION'"
+    near = "(coalesce(heading in ('MANUFACTURER_ADDRESS', 'PACKER_ADDRESS', 'MARKETER_ADDRESS', 'ADDRESS'), false) or section in ('MANUFACTURER_INFORMATION', 'PACKER_INFORMATION', 'MARKETER_INFORMATION'))"
+    steps = [("section = 'INGREDIENTS'", "'INGREDIENTS'", "text", "0.98"), (f"text = {pin} and {near}", "'POSTAL_PIN'", pin, "0.90"), (f"text = {pin}", "'UNKNOWN'", pin, "0.40")]
+    for kind, words in it.PARTY_WORDS.items():
+        name = q.strip(f"regexp_replace(text, {q.lit('(?i)^' + words + '[:' + chr(92) + 's' + chr(92) + '-]*')}, '')")
+        heads = q.m("text", f"(?i){chr(92)}b{words}{chr(92)}b")
+        steps.append((f"{firm} and ({named(kind)} or {heads})", f"'{kind}'", name, "0.98"))
+    steps += [(f"{firm} and {about(kind)}", f"'{kind}_NAME'", "text", "0.95") for kind in ("MARKETER", "PACKER", "MANUFACTURER")]
+    steps.append((firm, "'MANUFACTURER_NAME'", "text", "0.80"))
+    state = q.any_contains("lower(text)", it.pa.PLACES)
+    role = "case " + " ".join(f"when {named(k + '_NAME')} or {about(k)} then '{k}_ADDRESS'" for k in ("MARKETER", "PACKER", "IMPORTER")) + " else 'MANUFACTURER_ADDRESS' end"
+    steps.append((f"{q.m('text', it.ADDRESS_WORDS)} or ({state} and ({pin} is not null or contains(text, ',')))", role, "text", "0.94"))
+    return steps
+
+
+def _party_sql(part: int) -> str:
+    return "case " + " ".join(f"when {step[0]} then {step[part]}" for step in _party_steps()) + " end"
+
+
+@query("party_meanings", "E17", WITH_LABEL_LINES + SQL_SECTIONED + f" select * from (select doc_id, line_index, {_party_sql(1)} as semantic_type, {_party_sql(2)} as value, ({_party_sql(3)})::double as confidence from sl) where semantic_type is not null")
 def party_meanings(spark, d):
     v = _lines(spark, d).select("doc_id", "line_index", it.party(F.col("text"), F.col("section"), F.col("heading")).alias("v")).filter("v is not null")
     return v.select("doc_id", "line_index", "v.semantic_type", "v.value", "v.confidence")
 
 
-@query("semantic_fields", "E28 E29 E36 A14")
+def _field_sql() -> str:
+    readings = ", ".join(f"nullif({r}, 'UNKNOWN')" for r in (_price_sql(), _date_sql(), _qty_sql(), _party_sql(1)))
+    return f"""case when section = 'INGREDIENTS' then coalesce({_qty_sql()}, 'INGREDIENTS') when {q.m('text', lx.EMAIL)} or coalesce(heading = 'CONSUMER_CARE', false) or ({q.m('text', lx.PHONE)} and {q.m('text', lx.CARE_WORDS)}) then 'CONSUMER_CARE'
+      when heading in ('BATCH_NUMBER', 'LOT_NUMBER', 'MODEL_NUMBER', 'SERIAL_NUMBER', 'COUNTRY_OF_ORIGIN') then heading else coalesce({readings}, 'UNKNOWN') end"""
+
+
+# Every known meaning has a confidence of at least 0.80, so just the unknown ones are open.
+@query("semantic_fields", "E28 E29 E36 A14", WITH_LABEL_LINES + SQL_SECTIONED + f""", f as (select doc_id, {_field_sql()} as field_name from sl)
+select field_name, case when field_name = 'UNKNOWN' then 'NEEDS_REVIEW' else 'CONFIRMED' end as status, count(*) as lines, count(distinct doc_id) as labels from f group by 1, 2""")
 def semantic_fields(spark, d):
     rows = it.evidence_map(it.with_review_status(it.semantic_fields(_lines(spark, d))), ["doc_id", "status"])
     return rows.groupBy("field_name", "status").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("doc_id").alias("labels"))
@@ -128,7 +160,15 @@ def differentiated_quantities(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), f.alias("field"))
 
 
-@query("full_label_parse", "E37 E2 E4 E14 E34")
+_UNITS = ", ".join(q.lit(u) for u in ex.STANDARD_UNITS)
+_PARTS_OF_LABEL = ", ".join(f"{short} as ({CATALOGUE[name].sql})" for short, name in (("t", "titles_and_sections"), ("n", "label_quantity"), ("p", "price_detection"), ("d", "label_dates"), ("c", "label_contacts")))
+
+
+@query("full_label_parse", "E37 E2 E4 E34", f"""
+with {_PARTS_OF_LABEL}, s as (with {SQL_LABELS} select doc_id, {q.m('text', ex.WHEN_PACKED)} as when_packed from label_src)
+select doc_id, t.product_name, n.numeric as quantity, n.unit, p.amount as price, d.mfd, d.expiry, c.batch, c.phone, c.email, t.ingredients_text,
+  coalesce(n.strategy is not null and (n.unit not in ({_UNITS}) or s.when_packed), false) as unit_violation, p.status = 'DETECTED' and not p.tax as tax_violation
+from s join t using (doc_id) join n using (doc_id) join p using (doc_id) join d using (doc_id) join c using (doc_id)""")
 def full_label_parse(spark, d):
     """Every declaration of every label with its violations flags."""
     v = ex.detect_price(ex.label_quantity(ex.declarations(labels(spark, d))))
