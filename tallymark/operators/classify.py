@@ -179,9 +179,10 @@ def category_letter(text: Column, grams: Column) -> Column:
 
 
 def generic_name(grams: Column) -> Column:
-    """First commodity word in dictionary order (not the longest), as a title."""
-    words = list(dict.fromkeys(w for w, _ in lx.commodity_words()))
-    return F.initcap(F.get(known_words(grams, words), F.lit(0)))
+    """Display name of the first commodity word in dictionary order (not the longest)."""
+    names = lx.commodity_names()
+    lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.try_element_at(lookup, F.get(known_words(grams, list(names)), F.lit(0)))
 
 
 def category_signals(grams: Column) -> Column:

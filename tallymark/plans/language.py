@@ -201,13 +201,13 @@ _FOREIGN = f"len(list_filter(regexp_extract_all(lower(text), {q.lit(lx.IMPORT_OR
 _LETTER_SQL = ("case " + " ".join(f"when {q.m('low', chr(92) + 'b' + w + chr(92) + 'b')} then '{c}'" for w, c in _SORTED)
                + f" when {q.m('lower(text)', lx.IMPORT_DECLARED)} or {_FOREIGN} then 'P' "
                + " ".join(f"when {q.m('lower(text)', p)} then '{c}'" for c, _, p in lx.CATEGORY_CONTEXT) + " else 'R' end")
-_GENERIC_SQL = "case " + " ".join(f"when {q.m('low', chr(92) + 'b' + w + chr(92) + 'b')} then {q.lit(w)}" for w, _ in lx.commodity_words()) + " end"
+_GENERIC_SQL = "case " + " ".join(f"when {q.m('low', chr(92) + 'b' + w + chr(92) + 'b')} then {q.lit(name)}" for w, name in lx.commodity_names().items()) + " end"
 
 
-@query("category_letters", "C4", f"with {SQL_TEXTS}, {TEXT_LOW} select doc_id, {_LETTER_SQL} as code, {_GENERIC_SQL} as generic_word from text_low")
+@query("category_letters", "C4", f"with {SQL_TEXTS}, {TEXT_LOW} select doc_id, {_LETTER_SQL} as code, {_GENERIC_SQL} as generic_name from text_low")
 def category_letters(spark, d):
     t = cl.with_grams(texts(spark, d))
-    return t.select("doc_id", cl.category_letter(F.col("text"), F.col("grams"))["code"].alias("code"), F.lower(cl.generic_name(F.col("grams"))).alias("generic_word"))
+    return t.select("doc_id", cl.category_letter(F.col("text"), F.col("grams"))["code"].alias("code"), cl.generic_name(F.col("grams")).alias("generic_name"))
 
 
 def _signal_n(ws):
