@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallymark.operators import filters as fl
 from tallymark.operators import rules as ru
 from tallymark.operators import violations as vi
 from tallymark.plans.registry import query, table
@@ -184,7 +185,7 @@ def final_results(spark, d):
     return vi.assemble_results(products(spark, d).select("product_id", "session_id"), counts)
 
 
-@query("rules_in_force", "R1 R2 P6", """
+@query("rules_in_force", "R1 R2", """
 select o_orderkey, case when o_orderdate between '2001-01-01' and '2012-12-31' then 1 else 0 end as n_rules from orders""")
 def rules_in_force(spark, d):
     expired = lib.find_rule(rule_table(spark), "y(1)")
@@ -193,6 +194,18 @@ def rules_in_force(spark, d):
     return days.join(hits, "o_orderkey", "left").select("o_orderkey", F.coalesce("count", F.lit(0)).cast("int").alias("n_rules"))
 
 
+@query("rule_library_search", "P6", """
+select p_partkey as id, p_name as title, p_brand as category from part where contains(lower(concat_ws(' | ', 'Rule ' || p_size, p_name, p_type)), 'econ') and p_brand = 'Brand#17'
+union all select p_partkey, p_name, 'all' from part where contains(lower(concat_ws(' | ', 'Rule ' || p_size, p_name, p_type)), 'rule 1')""")
+def rule_library_search(spark, d):
+    """One rule for each part, searched by a word within a category and by a rule number over all."""
+    rules = table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.concat(F.lit("Rule "), F.col("p_size").cast("string")).alias("rule_number"), F.col("p_name").alias("title"),
+        F.col("p_type").alias("applicable_declaration"), F.col("p_name").alias("requirement"), F.col("p_brand").alias("category"))
+    within = fl.rule_library_filter(rules, "Econ", "Brand#17").select("id", "title", "category")
+    return within.unionByName(fl.rule_library_filter(rules, "Rule 1").select("id", "title", F.lit("all").alias("category")))
+
+
 TITLES = ["Name and complete address", "Common or generic name", "Net quantity in units", "Month and year of packing", "Maximum retail price", "Consumer care details", "Country of origin", "Batch marking", "Sale price of packs", "Short title"]
 
 

@@ -157,7 +157,7 @@ def simple_labels(spark, d):
     return v.select("doc_id", "product_name", "net_value", "net_unit", "mrp_amount", "tax_phrase", "pin", "phone", "email")
 
 
-@query("canonical_fields", "E30 E36", WITH_LABEL_LINES + f""", {SQL_NET}, {SQL_MRP}, {SQL_DATES},
+@query("canonical_fields", "E30", WITH_LABEL_LINES + f""", {SQL_NET}, {SQL_MRP}, {SQL_DATES},
 w as (select doc_id, text, net_value, raw_unit, amount, coalesce(mfd_l, {q.g(T, lx.MFD)}) as mfd, coalesce(expiry_l, {q.g(T, lx.EXP)}) as expiry, {q.m(T, lx.TAX_PHRASE)} as tax from label_src left join net using (doc_id) left join mrp using (doc_id) join dt using (doc_id)),
 f as (select doc_id, 'net_quantity' as field_name, case when raw_unit is null then 'Under Review' when lower(raw_unit) in ('gms', 'kgs', 'gm') then 'Defective' else 'Found' end as status from w
 union all select doc_id, 'mrp', case when amount is null then 'Under Review' when tax then 'Found' else 'Defective' end from w

@@ -19,6 +19,7 @@ SAMPLE = [
     "kpi_card", "monthly_timeline", "product_catalogue", "docket_upsert", "rule_evaluations", "violation_list", "violation_dedup", "transcript_lines",
     "token_cleanup", "declaration_classes", "gated_categories", "net_quantity", "retail_price", "price_detection", "label_entities", "text_sections",
     "reading_order", "unified_fields", "policy_merge", "session_matches", "statutory_checks", "adaptive_schema", "pin_validation", "state_transitions",
+    "category_letters", "party_meanings", "semantic_fields", "full_label_parse", "product_clusters", "entity_links", "rule_library_search",
 ]
 
 
