@@ -19,8 +19,8 @@ from tallymark.plans import load_catalogue  # noqa: E402
 from tallymark.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "label_compliance_overview", "kpi_card", "monthly_timeline", "infraction_distribution", "zone_caseload", "product_register", "violation_registry",
-    "transcript_lines", "line_classes", "declaration_classes", "category_letters", "gated_categories", "net_quantity", "retail_price", "price_detection",
+    "kpi_card", "monthly_timeline", "infraction_distribution", "zone_caseload", "product_register", "violation_registry",
+    "transcript_lines", "label_compliance_overview", "line_classes", "declaration_classes", "category_letters", "gated_categories", "net_quantity", "retail_price", "price_detection",
     "label_entities", "canonical_fields", "text_sections", "reading_order", "words_to_lines", "rule_evaluations", "violation_summary", "final_results",
     "statutory_checks", "compliance_scores", "unified_fields", "session_matches", "product_clusters", "entity_links", "state_transitions", "semantic_fields",
 ]
