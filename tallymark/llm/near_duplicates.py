@@ -38,7 +38,8 @@ from tallymark.session import cut_lineage
 WIDTH = 5
 PERCENT = 75
 GROUPS, ROWS = 16, 3
-#: Stands for a null id: one document, after all others.
+WORD = r"[^\x20\x09-\x0D]"
+#: Stands for a null id, after all others; rows with a null id are told apart by their text.
 NO_ID = 2**63 - 1
 
 
@@ -87,17 +88,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """id, t (text hash), n (set size), s1 and s2 (hash of the set), signature of every row."""
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
-    return named.mapInArrow(_sign, "id bigint, t bigint, n bigint, s1 bigint, s2 bigint, signature array<bigint>")
+    return _named(docs, docs["text"].cast("binary").alias("text")).mapInArrow(_sign, "id bigint, t bigint, n bigint, s1 bigint, s2 bigint, signature array<bigint>")
 
 
 def table_keys(nodes: DataFrame) -> DataFrame:
-    """(key, id, n): a key for every pair of those group values of a node that another node has too."""
-    values = nodes.select("id", "n", F.posexplode("signature").alias("group", "value"))
+    """(key, node, n): a key for every pair of those group values of a node that another node has too."""
+    values = nodes.select("node", "n", F.posexplode("signature").alias("group", "value"))
     common = values.groupBy("value").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("value")
-    held = values.join(common, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("group", "value"))).alias("held"))
+    held = values.join(common, "value").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("group", "value"))).alias("held"))
     paired = F.flatten(F.transform("held", lambda x, i: F.transform(F.slice(F.col("held"), i + 2, F.lit(GROUPS)), lambda y: F.xxhash64(x["value"], y["value"]))))
-    return held.select("id", "n", F.explode(paired).alias("key"))
+    return held.select("node", "n", F.explode(paired).alias("key"))
 
 
 def _alike(a: str, b: str):
@@ -122,8 +122,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full shingle sets are similar enough; ``texts`` has one (id, text) for each node."""
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    """Those of the distinct pairs (a, b) whose full shingle sets are similar enough; ``texts`` has one (node, text) for each node."""
+    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(right, "b").join(left, "a")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a bigint, b bigint")
 
@@ -135,97 +135,119 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             chunk = Chunk(part, table=LOWER)
             sets = [shingles(chunk, i) for i in range(len(part))]
             row = pa.array(np.repeat(np.arange(first, first + len(part)), [len(s) for s in sets]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(3)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "n", "label", "shingle"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(3)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "n", "label", "shingle"])
 
 
 def first_common(open_nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of open nodes (id, n, label) of different labels that can be linked.
+    """Distinct pairs (a, b) of open nodes (node, n, label) of different labels that can be linked.
 
     A node's shingles are ordered by the number of open nodes that hold them; a
     shingle at place p leaves n - p for the overlap if it is the first common
     one.  Every linked pair is among the result.
     """
-    rows = open_nodes.join(texts.select("id", "text"), "id").select("id", "n", "label", "text").mapInArrow(_shingle_rows, "id bigint, n bigint, label bigint, shingle bigint")
-    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), (F.min("label") < F.max("label")).alias("crosses"))
-    ordered = rows.join(held, "shingle").groupBy("id", "n", "label").agg(F.sort_array(F.collect_list(F.struct("nodes", "shingle", "crosses"))).alias("by_rarity"))
+    rows = open_nodes.join(texts.select("node", "text"), "node").select("node", "n", "label", "text").mapInArrow(_shingle_rows, "node bigint, n bigint, label bigint, shingle bigint")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), (F.min("label") < F.max("label")).alias("crosses"))
+    ordered = rows.join(held, "shingle").groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("holders", "shingle", "crosses"))).alias("by_rarity"))
     early = F.slice("by_rarity", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
-    places = cut_lineage(ordered.select("id", "n", "label", F.posexplode(early).alias("place", "s")).filter("s.crosses").select(F.col("s.shingle").alias("shingle"), "id", "n", "label", (F.col("n") - F.col("place")).alias("rest")))
-    other = places.select("shingle", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("rest").alias("rest_b"))
+    places = cut_lineage(ordered.select("node", "n", "label", F.posexplode(early).alias("place", "s")).filter("s.crosses").select(F.col("s.shingle").alias("shingle"), "node", "n", "label", (F.col("n") - F.col("place")).alias("rest")))
+    other = places.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("rest").alias("rest_b"))
     enough = F.least("rest", "rest_b") * (100 + PERCENT) >= (F.col("n") + F.col("n_b")) * PERCENT
     met = places.join(other, "shingle").filter((F.col("label") < F.col("label_b")) & enough)
-    return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label) of every linked node; label is the smallest node it is linked to by any path.
+    """(node, label) of every linked node; label is the smallest node it is linked to by any path.
 
     Each round takes the smallest label among a node and its neighbours and
     then follows labels once more, so paths halve.  Rounds are checkpointed.
     """
-    both = cut_lineage(links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a")))
-    labels = cut_lineage(both.groupBy("id").agg(F.min("other").alias("near")).select("id", F.least("id", "near").alias("label")))
+    both = cut_lineage(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")))
+    labels = cut_lineage(both.groupBy("node").agg(F.min("other").alias("near")).select("node", F.least("node", "near").alias("label")))
     while True:
-        around = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("near"))
-        lower = labels.join(around, "id").select("id", F.least("label", "near").alias("next"), F.col("label").alias("old"))
-        jumps = lower.select(F.col("id").alias("next"), F.col("next").alias("further"))
-        moved = cut_lineage(lower.join(jumps, "next", "left").select("id", F.least("next", F.coalesce("further", "next")).alias("label"), "old"))
+        around = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        lower = labels.join(around, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
+        jumps = lower.select(F.col("node").alias("next"), F.col("next").alias("further"))
+        moved = cut_lineage(lower.join(jumps, "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("label"), "old"))
         changed = moved.filter("label <> old").limit(1).count()
-        labels = moved.select("id", "label")
+        labels = moved.select("node", "label")
         if not changed:
             return labels
 
 
+def _named(docs: DataFrame, *more) -> DataFrame:
+    """id and t (text hash) of every row, and what else is asked for."""
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs["text"]).alias("t"), *more)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """id, t, n_shingles and component of every row of ``docs`` (doc_id and text are read).
+    """id, t, n_shingles, component, node and kept of every row of ``docs`` (doc_id and text are read).
+
+    Texts are linked by their sets alone.  ``node`` numbers the first set of a
+    row's component and ``component`` is the id that comes first with it;
+    ``kept`` is true for the rows of just that id and set.  So rows of one id
+    with unlike texts are judged each on its own, and so are rows of a null id,
+    which come after all others and are told apart by their text.
 
-    A null or wordless text has an empty set and is linked with nothing.  Rows
-    of one id are one document; a null id is one document after all others.
-    Texts of fewer than five words are linked only with the same sequence.
+    A null or wordless text has an empty set (node null) and is linked with
+    nothing.  Texts of fewer than five words are linked only with the same
+    sequence.
     """
     rows = cut_lineage(signatures(docs))
     filled = rows.filter("n > 0")
     named = filled.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "t")).alias("first"), F.min("signature").alias("signature"))
-    nodes = cut_lineage(named.select("s1", "s2", "n", F.col("first.id").alias("id"), F.col("first.t").alias("t"), "signature"))
+    # Numbers rise with the id, so the smallest of a component is its first document; they are written once and then only read.
+    ranked = named.select("s1", "s2", "n", F.col("first.id").alias("id"), F.col("first.t").alias("t"), "signature").orderBy("id", "t", "s1", "s2")
+    nodes = cut_lineage(ranked.withColumn("node", F.monotonically_increasing_id()))
     keys = cut_lineage(table_keys(nodes))
-    heads = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("key", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"))
+    heads = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("key", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
     shared = cut_lineage(keys.join(heads, "key"))
-    first = cut_lineage(shared.filter((F.col("id") != F.col("head")) & _alike("n", "head_n")).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    first = cut_lineage(shared.filter((F.col("node") != F.col("head")) & _alike("n", "head_n")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
 
-    wanted = shared.select("id").distinct().join(nodes.select("id", "t"), "id").select("id", "t").distinct()
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
-    texts = cut_lineage(texts.join(wanted, ["id", "t"]).dropDuplicates(["id", "t"]).select("id", "text"))
+    wanted = shared.select("node").distinct().join(nodes.select("node", "id", "t"), "node")
+    texts = _named(docs, docs["text"].cast("binary").alias("text"))
+    texts = cut_lineage(texts.join(wanted, ["id", "t"]).dropDuplicates(["id", "t"]).select("node", "text"))
     linked = cut_lineage(confirm(first, texts))
     labels = components(linked)
 
     # Nodes of keys that still hold several components.
-    placed = shared.select("key", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    placed = shared.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    open_nodes = cut_lineage(placed.join(several, "key").select("id", "n", "label").distinct())
+    open_nodes = cut_lineage(placed.join(several, "key").select("node", "n", "label").distinct())
     more = cut_lineage(confirm(first_common(open_nodes, texts).join(first, ["a", "b"], "left_anti"), texts))
+    final = components(linked.union(more))
 
-    # Rows of one id with different sets belong together as well.
-    member = rows.filter("n > 0").select(F.col("id").alias("member"), "s1", "s2").distinct().join(nodes.select("s1", "s2", "id"), ["s1", "s2"])
-    repeated = member.groupBy("member").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").select("member", "a")
-    own = member.join(repeated, "member").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    final = components(linked.union(more).union(own))
-
-    of_set = nodes.select("s1", "s2", "id").join(final, "id", "left").select("s1", "s2", F.coalesce("label", "id").alias("component"))
-    return rows.join(of_set, ["s1", "s2"], "left").select("id", "t", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    # The first document of each set's component: of the smallest node that it is linked to, or its own.
+    roots = final.select("label").distinct().join(nodes.select(F.col("node").alias("label"), F.struct("id", "t").alias("root")), "label")
+    of_set = nodes.select("s1", "s2", "node", F.struct("id", "t").alias("own")).join(final.join(roots, "label"), "node", "left")
+    of_set = of_set.select("s1", "s2", F.coalesce("label", "node").alias("root_node"), F.coalesce("root", "own").alias("root"), F.coalesce(F.col("label") == F.col("node"), F.lit(True)).alias("is_root"))
+    met = rows.join(of_set, ["s1", "s2"], "left")
+    wordless = F.col("n") == 0
+    same = (F.col("id") == F.col("root.id")) & ((F.col("id") != NO_ID) | (F.col("t") == F.col("root.t")))
+    return met.select(
+        "id", "t", F.col("n").alias("n_shingles"), F.when(wordless, F.col("id")).otherwise(F.col("root.id")).alias("component"),
+        F.when(~wordless, F.col("root_node")).alias("node"), (wordless | (F.col("is_root") & same)).alias("kept"),
+    )
 
 
 def near_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row; see :func:`near_duplicates`."""
+    """doc_id, n_shingles, component_id and kept for every row; see :func:`near_duplicates`.
+
+    The component_id is null where a row of a null id is the first of its component.
+    """
     found = near_duplicates(docs)
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return found.select(back("id").alias("doc_id"), "n_shingles", back("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return found.select(back("id").alias("doc_id"), "n_shingles", back("component").alias("component_id"), "kept")
 
 
 def one_of_each(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, one row for each id."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter(F.col("id") == F.col("component")).groupBy("id").agg(F.min("t").alias("kt"))
-    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.coalesce(docs.doc_id.cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs.text).alias("t"))
-    met = rows.join(kept, "id").filter(F.col("t") == F.col("kt"))
-    return met.groupBy("id").agg(F.min("row").alias("row")).select("row.*")
+    """One row of ``docs`` for each component, of the smallest id; of wordless texts one for each id, and all without an id."""
+    found = near_duplicates(docs.select("doc_id", "text")).filter("kept")
+    kept = found.filter((F.col("n_shingles") > 0) | (F.col("id") != NO_ID)).groupBy("id", "node").agg(F.min("t").alias("t")).select("id", "t")
+    rows = _named(docs, F.struct(*[docs[c] for c in columns]).alias("row"))
+    met = rows.join(kept, ["id", "t"]).groupBy("id", "t").agg(F.min("row").alias("row")).select("row.*")
+    unnamed = docs.filter((docs["doc_id"].isNull() | (docs["doc_id"] == NO_ID)) & ~F.coalesce(docs["text"], F.lit("")).rlike(WORD)).select(*columns)
+    return met.unionAll(unnamed)
 
 
 SQL = r"""

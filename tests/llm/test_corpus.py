@@ -144,6 +144,20 @@ def test_near_duplicates(spark):
     assert Counter(collected(near_duplicates.near_report(docs))) == want
 
 
+def test_near_duplicates_of_rows_without_an_own_id(spark):
+    text = lambda name, at=-1: " ".join(f"{name}{i}" if i != at else "changed" for i in range(60))
+    rows = [(5, text("a")), (900, text("b")), (None, text("a", 30)), (None, text("b", 30)), (7, text("e")), (7, text("f")), (7, text("e", 30)), (8, text("f", 30))]
+    rows += [(None, text(f"own{k}x")) for k in range(30)] + [(None, text("own0x")), (None, text("own1x", 30)), (None, None), (None, " "), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    report = collected(near_duplicates.near_report(docs).select("doc_id", "component_id", "kept"))
+    want = {(5, 5, True): 1, (900, 900, True): 1, (None, 5, False): 1, (None, 900, False): 1, (7, 7, True): 2, (7, 7, False): 1, (8, 7, False): 1, (None, None, True): 34, (None, None, False): 1}
+    assert Counter(report) == want
+    left = Counter(collected(near_duplicates.one_of_each(docs, ["doc_id", "text"])))
+    named = [r for r in left if r[0] is not None]
+    assert len(named) == 4 and {(5, text("a")), (900, text("b"))} < set(named) and {d for d, _ in named} == {5, 7, 900}
+    assert left[None, None] == 1 and left[None, " "] == 2 and sum(left.values()) == 4 + 30 + 3 and left[None, text("own0x")] == 1
+
+
 def test_chat_round_trip_and_parts(spark):
     for text in ("</s>[INST] ok [/INST]", "\\", "<\\<[[\\]", "", "a\nb"):
         assert chat.unescape(chat.escape(text)) == text and "</s>" not in chat.escape(text) and "[INST]" not in chat.escape(text)
