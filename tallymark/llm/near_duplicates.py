@@ -95,8 +95,9 @@ def table_keys(nodes: DataFrame) -> DataFrame:
     """(key, node, n): a key for every pair of those group values of a node that another node has too."""
     values = nodes.select("node", "n", F.posexplode("signature").alias("group", "value"))
     common = values.groupBy("value").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("value")
+    # A node is one set, so a list holds at most GROUPS values, and each is paired with all after it.
     held = values.join(common, "value").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("group", "value"))).alias("held"))
-    paired = F.flatten(F.transform("held", lambda x, i: F.transform(F.slice(F.col("held"), i + 2, F.lit(GROUPS)), lambda y: F.xxhash64(x["value"], y["value"]))))
+    paired = F.flatten(F.transform("held", lambda x, i: F.transform(F.slice(F.col("held"), i + 2, F.size("held")), lambda y: F.xxhash64(x["value"], y["value"]))))
     return held.select("node", "n", F.explode(paired).alias("key"))
 
 

@@ -144,6 +144,13 @@ def test_near_duplicates(spark):
     assert Counter(collected(near_duplicates.near_report(docs))) == want
 
 
+def test_table_keys_pair_all_values_of_each_text(spark):
+    """Twenty pairs of texts without an id, of one size: all 120 keys of each, shared with its copy alone."""
+    rows = [(near_duplicates.NO_ID, k, 40, [k % 20 * 100 + g for g in range(16)]) for k in range(40)]
+    keys = near_duplicates.table_keys(spark.createDataFrame(rows, "id bigint, node bigint, n bigint, signature array<bigint>"))
+    assert Counter(keys.groupBy("key").count().select("count").toPandas()["count"]) == {2: 20 * 120}
+
+
 def test_near_duplicates_of_rows_without_an_own_id(spark):
     text = lambda name, at=-1: " ".join(f"{name}{i}" if i != at else "changed" for i in range(60))
     rows = [(5, text("a")), (900, text("b")), (None, text("a", 30)), (None, text("b", 30)), (7, text("e")), (7, text("f")), (7, text("e", 30)), (8, text("f", 30))]
