@@ -47,7 +47,7 @@ LEVEL = 6
 #: Stands for a null id: one document, after all others.
 NO_ID = 2**63 - 1
 
-HIT = "id bigint, tag int, start int, n int"
+HIT = "id bigint, tag bigint, start int, n int"
 
 
 def _anchors(h: np.ndarray) -> np.ndarray:
@@ -142,8 +142,10 @@ class Leaves:
         first = self.place[begins]
         low, high = self.starts[first], self.ends[first + n + WIDTH - 2]
         text = b" ".join([self.joined[a:b] for a, b in zip(low.tolist(), high.tolist())])
-        head = [np.diff(self.ids[begins], prepend=np.int64(0)).astype("<i8"), self.at[begins].astype("<i4"), self.tags[begins].astype("<i4"), n.astype("<i4")]
-        return zstandard.ZstdCompressor(LEVEL).compress(struct.pack("<q", len(begins)) + b"".join(x.tobytes() for x in head) + text)
+        ids, tags = self.ids[begins], self.tags[begins]
+        docs, many = _joined(ids, tags)
+        head = [np.diff(ids[docs], prepend=np.int64(0)).astype("<i8"), tags[docs].astype("<i8"), many.astype("<i4"), self.at[begins].astype("<i4"), n.astype("<i4")]
+        return zstandard.ZstdCompressor(LEVEL).compress(struct.pack("<qq", len(docs), len(begins)) + b"".join(x.tobytes() for x in head) + text)
 
 
 def unpack(payloads: list[bytes]) -> Leaves:
@@ -151,10 +153,12 @@ def unpack(payloads: list[bytes]) -> Leaves:
     heads, texts = [], []
     for payload in payloads:
         raw = zstandard.ZstdDecompressor().decompress(payload)
-        (n,) = struct.unpack_from("<q", raw)
-        heads.append([np.cumsum(np.frombuffer(raw, "<i8", n, 8)), *(np.frombuffer(raw, "<i4", n, 8 + (8 + 4 * k) * n) for k in range(3))])
-        texts.append(raw[8 + 20 * n :])
-    ids, at, tags, n = (np.concatenate([h[k] for h in heads]).astype(np.int64) for k in range(4))
+        docs, n = struct.unpack_from("<qq", raw)
+        ids, tags = np.cumsum(np.frombuffer(raw, "<i8", docs, 16)), np.frombuffer(raw, "<i8", docs, 16 + 8 * docs)
+        many, rest = np.frombuffer(raw, "<i4", docs, 16 + 16 * docs), 16 + 20 * docs
+        heads.append([np.repeat(ids, many), np.repeat(tags, many), np.frombuffer(raw, "<i4", n, rest), np.frombuffer(raw, "<i4", n, rest + 4 * n)])
+        texts.append(raw[rest + 8 * n :])
+    ids, tags, at, n = (np.concatenate([h[k] for h in heads]).astype(np.int64) for k in range(4))
     chunk = Chunk(texts)
     words = n + WIDTH - 1
     segment = np.repeat(np.arange(len(n)), n)
@@ -173,7 +177,7 @@ def _leaves(texts: list[bytes], ids: np.ndarray, tags: np.ndarray) -> Leaves:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[Leaves]:
     for batch in batches:
-        ids, tags, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_pylist()
+        ids, tags, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
         for first, part in chunks(texts, CHUNK):
             rows = slice(first, first + len(part))
             yield _leaves(part, ids[rows], tags[rows])
@@ -237,7 +241,7 @@ def _deal(batches: Iterator[pa.RecordBatch], groups) -> Iterator[pa.RecordBatch]
 
 
 def _hits(found: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in found[1:])], ["id", "tag", "start", "n"])
+    return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in found[:2]), *(pa.array(x.astype(np.int32)) for x in found[2:])], ["id", "tag", "start", "n"])
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,14 +271,13 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame, *more) -> DataFrame:
-    tag = (F.xxhash64("text") % 30_000).cast("int")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), tag.alias("tag"), F.col("text").cast("binary").alias("text"), *more)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"), *more)
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
     """(id, tag, start, n): n neighbouring windows from word ``start`` on that a document with a smaller id holds too.
 
-    ``tag`` tells texts apart that share an id; rows of one id are one document
+    ``tag``, the whole 64-bit hash of the text, tells texts apart that share an id; rows of one id are one document
     and never repeat each other.  A null id comes after all others.
     """
     keyed = _keyed(docs)

@@ -105,6 +105,13 @@ def test_substring_groups_stay_small_and_whole(spark, docs):
     assert many > 10 and (groups[0] < 0).any() and (groups[-1] >= 0).all()
 
 
+def test_substrings_of_many_texts_without_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(15))
+    rows = [(1, passage)] + [(None, " ".join(f"k{k}x{i}" for i in range(k % 40)) + f" {passage if k % 3 else k}") for k in range(1_200)]
+    got = collected(substrings.substring_report(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert Counter(got) == Counter(brute_substrings(rows))
+
+
 def test_line_dedup(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     key = lambda line: line.strip(SPACE).translate(LOWER)
