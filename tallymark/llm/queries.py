@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import chat, curriculum, decontaminate, line_quality, lines, materialise, near_duplicates, quality, substrings, toxicity
+from tallymark.llm import chat, curriculum, decontaminate, line_quality, lines, materialise, near_duplicates, quality, spelling, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +57,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_decontamination, op2_substring_dedup, op3_quality, op4_line_dedup, op5_toxicity, op6_chat, op7_token_shards, op8_mixing, op9_near_duplicates, op10_quality_rules)}
+    op1_decontamination, op2_substring_dedup, op3_quality, op4_line_dedup, op5_toxicity, op6_chat, op7_token_shards, op8_mixing, op9_near_duplicates, op10_quality_rules, op13_spelling)}
 
 SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.SQL, "op2_substring_dedup": substrings.SQL, "op4_line_dedup": lines.SQL, "op6_chat": chat.SQL,
-    "op8_mixing": curriculum.SQL, "op9_near_duplicates": near_duplicates.SQL, "op10_quality_rules": line_quality.SQL,
+    "op8_mixing": curriculum.SQL, "op9_near_duplicates": near_duplicates.SQL, "op10_quality_rules": line_quality.SQL, "op13_spelling": spelling.SQL,
 }
