@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymark.llm import chat, curriculum, decontaminate, line_quality, lines, materialise, merkle, near_duplicates, quality, spelling, substrings, toxicity
+from tallymark.llm import chat, curriculum, decontaminate, line_quality, lines, materialise, merkle, near_duplicates, packing, quality, spelling, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_report(_table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_decontamination, op2_substring_dedup, op3_quality, op4_line_dedup, op5_toxicity, op6_chat, op7_token_shards, op8_mixing, op9_near_duplicates, op10_quality_rules, op12_merkle, op13_spelling)}
+    op1_decontamination, op2_substring_dedup, op3_quality, op4_line_dedup, op5_toxicity, op6_chat, op7_token_shards, op8_mixing, op9_near_duplicates, op10_quality_rules, op11_packing, op12_merkle, op13_spelling)}
 
 SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.SQL, "op2_substring_dedup": substrings.SQL, "op4_line_dedup": lines.SQL, "op6_chat": chat.SQL,
