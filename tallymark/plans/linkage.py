@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallymark.functions import text as tx
 from tallymark.operators import fuse as fu
 from tallymark.operators import link as lk
+from tallymark.operators import nearlines as nl
 from tallymark.plans.labels import WITH_LABEL_LINES, WITH_TEXT_LINES, labels, texts
 from tallymark.plans.registry import query, table
 from tallymark.sources import transcripts as tr
@@ -262,3 +263,28 @@ select line_key, count(*) as occurrences, min(doc_id) as first_doc from k where
 def repeated_lines(spark, d):
     ln = tr.explode_lines(texts(spark, d), ["doc_id"])
     return fu.repeated_lines(ln, ["doc_id", "line_index"]).select("line_key", "occurrences", F.col("first.doc_id").alias("first_doc"))
+
+
+# Letters beyond ASCII in the given tables, as one byte each: DuckDB counts edits in bytes.
+_MARKED = "éóèñçüêäöíß₹"
+_BAG = " + ".join(f"abs(a.c{i} - b.c{i})" for i in range(10))
+
+
+@query("distinct_corpus_lines", "J18", WITH_TEXT_LINES + f"""
+, firsts as materialized (select lower(text) as low, min(struct_pack(d := doc_id, i := line_index, t := text)) as f, count(*) as many from lines group by lower(text)),
+n as materialized (select *, row_number() over (order by f.d, f.i) as id, length(low) as n, translate(low, '{_MARKED}', {' || '.join(f'chr({i})' for i in range(1, len(_MARKED) + 1))}) as plain,
+  {", ".join(f"length(low) - length(replace(low, '{c}', '')) as c{i}" for i, c in enumerate("etaonirhsd"))} from firsts),
+wide as (select *, n // 8 + unnest([-1, 0, 1]) as near_n from n),
+alike as materialized (select a.id as a, b.id as b, a.plain as x, b.plain as y, greatest(a.n, b.n) as longest from wide a join n b on a.near_n = b.n // 8 and a.id < b.id
+  where b.n between a.n - 8 and a.n + 8 and least(a.n, b.n) >= 0.84::double * greatest(a.n, b.n) and {_BAG} <= least(16, 0.3::double * greatest(a.n, b.n))),
+near as materialized (select a, b from alike where levenshtein(x, y) <= 8 and 1.0::double - levenshtein(x, y) / longest::double > 0.85::double),
+ends as materialized (select a as id from near union select b from near),
+steps as (select list(struct_pack(kept := []::bigint[], id := id, nb := nb) order by id) as s from (select id, coalesce(list(near.a) filter (near.a is not null), []::bigint[]) as nb from n left join near on near.b = n.id
+  where id in (select id from ends) group by id)),
+kept as materialized (select unnest(list_reduce(list_prepend(struct_pack(kept := []::bigint[], id := 0::bigint, nb := []::bigint[]), s),
+  lambda acc, x: struct_pack(kept := case when list_has_any(acc.kept, x.nb) then acc.kept else list_append(acc.kept, x.id) end, id := x.id, nb := x.nb)).kept) as id from steps),
+counts as (select lower(regexp_replace(f.t, '[^a-zA-Z0-9]', '', 'g')) as key, sum(many) as occurrences from n group by 1)
+select f.d as doc_id, f.i as line_index, f.t as text, case when key <> '' and c.occurrences >= 2 then 0.95::double else 0.9::double end as confidence, case when key = '' then 1 else c.occurrences end::bigint as occurrences
+from n join counts c on c.key = lower(regexp_replace(f.t, '[^a-zA-Z0-9]', '', 'g')) where id in (select id from n except select id from ends union all select id from kept)""")
+def distinct_corpus_lines(spark, d):
+    return nl.distinct_corpus_lines(tr.explode_lines(texts(spark, d), ["doc_id"]), ["doc_id", "line_index"])
