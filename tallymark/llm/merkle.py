@@ -15,6 +15,7 @@ share and expands every leaf's own proof, without more data.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.lines import LOWER, UPPER
-from tallymark.session import cut_lineage
+from tallymark.session import checkpoint_dir
 
 FAN = 8
 #: Levels within a leaf partition, which so has 4,096 leaves at most.
@@ -49,19 +50,31 @@ def leaf_hash(doc_id: Column, source: Column, lang: Column, n_chars: Column, tex
     return F.unhex(F.sha2(F.concat(*map(field, (doc_id, source, lang, n_chars, text))).cast("binary"), 256))
 
 
-def numbered(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
-    """``rows`` with pos, their place within ``tree`` (not null) in the given order, and size, the tree's number of rows.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, whose size Spark knows when it plans joins."""
+    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
 
-    Only counts by partition and tree meet in a window; rows that tie in
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (tree, doc_id, leaf, ...) with pos, their place within the tree by doc_id and leaf, size, the tree's rows, top_pos, the tree's place, and top_size.
+
+    Only counts by partition and tree meet in a window over one tree, and only
+    one row for each language in the window over all trees.  Rows that tie in
     everything are interchangeable and may be split over partitions.
     """
-    dealt = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(tree, *order, "_row").sortWithinPartitions(tree, *order, "_row").drop("_row")
+    order = ["tree", "doc_id", "leaf", "_row"]
+    dealt = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("_row")
     place = F.monotonically_increasing_id()
-    placed = cut_lineage(dealt.select("*", F.shiftright(place, 33).cast("int").alias("_part"), place.bitwiseAND(F.lit(2**33 - 1)).alias("_at")))
-    counts = placed.groupBy(tree, "_part").agg(F.count(F.lit(1)).alias("_many"), F.min("_at").alias("_first"))
-    along = Window.partitionBy(tree).orderBy("_part")
-    starts = counts.select(tree, "_part", (F.sum("_many").over(along) - F.col("_many") - F.col("_first")).alias("_shift"), F.sum("_many").over(Window.partitionBy(tree)).alias("size"))
-    return placed.join(starts, [tree, "_part"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+    placed = written(dealt.select("*", F.shiftright(place, 33).cast("int").alias("_part"), place.bitwiseAND(F.lit(2**33 - 1)).alias("_at")), "leaves")
+    counts = placed.groupBy("tree", "_part").agg(F.count(F.lit(1)).alias("_many"), F.min("_at").alias("_first"))
+    own = Window.partitionBy("tree")
+    starts = counts.select("tree", "_part", (F.sum("_many").over(own.orderBy("_part")) - F.col("_many") - F.col("_first")).alias("_shift"), F.sum("_many").over(own).alias("size"))
+    starts = written(starts, "starts")
+    trees = starts.select("tree").distinct()
+    trees = trees.select("tree", (F.row_number().over(Window.orderBy("tree")) - 1).cast("bigint").alias("top_pos"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("top_size"))
+    return placed.join(starts.join(trees, "tree"), ["tree", "_part"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
 
 def lift(digests: list[bytes], size: int, levels: int) -> Iterator[list[bytes]]:
@@ -86,10 +99,10 @@ def _survey(block: pa.Table, depth: int) -> pa.Table:
     block = block.sort_by("pos")
     tree, number, size, top_pos, top_size = (block.column(c)[0].as_py() for c in ("tree", "block", "size", "top_pos", "top_size"))
     levels = [block.column("leaf").to_pylist(), *lift(block.column("leaf").to_pylist(), size, depth)]
-    rows = [(tree, None, len(levels) - 1, number, levels[-1][0])]
+    rows = [(tree, None, len(levels) - 1, number, levels[-1][0], -(-size // FAN**depth), top_pos, top_size)]
     for name, known, many in ((tree, block.column("pos").to_numpy(), size), (TOP, np.array([top_pos]), top_size)):
-        rows += [(name, f"{number} {tree}", level, int(idx), None) for level, lacking in enumerate(missing(known, many)) for idx in lacking]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()))], ["tree", "wanted_by", "level", "idx", "digest"])
+        rows += [(name, f"{number} {tree}", level, int(idx), *[None] * 4) for level, lacking in enumerate(missing(known, many)) for idx in lacking]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), *[pa.int64()] * 3))], ["tree", "wanted_by", "level", "idx", "digest", "here", "top_pos", "top_size"])
 
 
 def _raise(block: pa.Table, depth: int) -> pa.Table:
@@ -102,17 +115,18 @@ def _raise(block: pa.Table, depth: int) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64()))], ["tree", "level", "idx", "digest", "here"])
 
 
-def grown(base: DataFrame, depth: int) -> DataFrame:
-    """``base`` and all nodes above it: tree, level, idx, digest and here (number of nodes of that level of the tree)."""
+def grown(base: DataFrame, level: int, most: int, depth: int) -> DataFrame:
+    """``base`` and all nodes above it: tree, level, idx, digest and here (number of nodes of that level of the tree).
+
+    Trees that go on have their nodes at ``level``, ``most`` of them at most.
+    """
     out, at = base, base
-    while True:
-        open_ = at.filter("here > 1")
-        if open_.isEmpty():
-            return out
-        tier = cut_lineage(open_.withColumn("run", F.expr(f"idx div {FAN**depth}")).groupBy("tree", "run").applyInArrow(lambda run: _raise(run, depth), f"{NODE}, here bigint"))
-        out = out.unionByName(tier)
-        # A tier ends at its highest level, or earlier where a tree has come to its root.
-        at = tier.join(open_.agg(F.max("level").alias("from")), F.col("level") == F.col("from") + depth).drop("from")
+    while most > 1:
+        runs = at.filter("here > 1").withColumn("run", F.expr(f"idx div {FAN**depth}")).groupBy("tree", "run")
+        tier = written(runs.applyInArrow(lambda run: _raise(run, depth), f"{NODE}, here bigint"), "tier")
+        level, most = level + depth, -(-most // FAN**depth)
+        out, at = out.unionByName(tier), tier.filter(F.col("level") == level)
+    return out
 
 
 def _expand(leaves: pa.Table, fetched: pa.Table) -> pa.Table:
@@ -159,8 +173,9 @@ def manifest(docs: DataFrame, presented_text: Column | None = None, depth: int =
     """Leaf partitions and nodes of ``docs`` (doc_id, source, lang, n_chars and text are read).
 
     Leaves: tree, pos, size, top_pos, top_size, block, doc_id, leaf, presented.
-    Nodes: tree, wanted_by, level, idx, digest; where wanted_by is null, the
-    root of a partition, else a node that the partition so called lacks.
+    Nodes: tree, wanted_by, level, idx, digest, here, top_pos, top_size; where
+    wanted_by is null, the root of a partition, else a node that the partition
+    so called lacks.
 
     ``presented_text`` stands for the text that is to be verified, where it is
     not null and differs; ``presented`` is its leaf.
@@ -169,24 +184,22 @@ def manifest(docs: DataFrame, presented_text: Column | None = None, depth: int =
     columns = [docs[c] for c in ("doc_id", "source", "lang", "n_chars")]
     leaf = leaf_hash(*columns, docs["text"])
     presented = F.lit(None).cast("binary") if presented_text is None else F.when(presented_text.isNotNull(), leaf_hash(*columns, presented_text))
-    rows = numbered(docs.select(key.alias("tree"), "doc_id", leaf.alias("leaf"), presented.alias("presented")), "tree", ["doc_id", "leaf"])
-    trees = rows.groupBy("tree").agg(F.max("size").alias("n")).withColumn("forest", F.lit(TOP))
-    trees = numbered(trees, "forest", ["tree"]).select("tree", F.col("pos").alias("top_pos"), F.col("size").alias("top_size"))
-    leaves = rows.join(trees, "tree").withColumn("block", F.expr(f"pos div {FAN**depth}"))
-    nodes = cut_lineage(leaves.groupBy("tree", "block").applyInArrow(lambda block: _survey(block, depth), "tree string, wanted_by string, level int, idx bigint, digest binary"))
-    return leaves, nodes
+    # Hashed once: the range sort reads its input twice.
+    hashed = written(docs.select(key.alias("tree"), "doc_id", leaf.alias("leaf"), presented.alias("presented")), "hashed")
+    leaves = numbered(hashed).withColumn("block", F.expr(f"pos div {FAN**depth}"))
+    nodes = leaves.groupBy("tree", "block").applyInArrow(lambda block: _survey(block, depth), "tree string, wanted_by string, level int, idx bigint, digest binary, here bigint, top_pos bigint, top_size bigint")
+    return leaves, written(nodes, "nodes")
 
 
 def verified(leaves: DataFrame, nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Every leaf with its roots, the digest of its proof, and the root that the presented leaf folds to."""
-    sizes = leaves.groupBy("tree").agg(F.max("size").alias("size"), F.max("top_pos").alias("top_pos"), F.max("top_size").alias("top_size"))
-    here = F.ceil(F.col("size") / F.lit(FAN**depth))
-    parts = nodes.filter("wanted_by is null").join(sizes, "tree").select("tree", "level", "idx", "digest", here.alias("here"), "top_pos", "top_size")
-    inner = grown(parts.select("tree", "level", "idx", "digest", "here"), depth)
-    outer = grown(inner.filter("here = 1").join(sizes, "tree").select(F.lit(TOP).alias("tree"), F.lit(0).alias("level"), F.col("top_pos").alias("idx"), "digest", F.col("top_size").alias("here")), depth)
-    wanted = nodes.filter("wanted_by is not null").drop("digest")
-    fetched = wanted.join(inner.unionByName(outer), ["tree", "level", "idx"]).select(F.col("tree").alias("of"), "level", "idx", "digest", F.split("wanted_by", " ", 2).alias("by"))
-    fetched = fetched.select(F.col("by")[1].alias("tree"), F.col("by")[0].cast("bigint").alias("block"), "of", "level", "idx", "digest")
+    parts, wanted = nodes.filter("wanted_by is null"), nodes.filter("wanted_by is not null").select("tree", "wanted_by", "level", "idx")
+    most, trees = parts.agg(F.coalesce(F.max("here"), F.lit(0)), F.coalesce(F.max("top_size"), F.lit(0))).first()
+    inner = grown(parts.select("tree", "level", "idx", "digest", "here"), depth, most, depth)
+    tops = parts.select("tree", "top_pos", "top_size").distinct()
+    outer = grown(inner.filter("here = 1").join(tops, "tree").select(F.lit(TOP).alias("tree"), F.lit(0).alias("level"), F.col("top_pos").alias("idx"), "digest", F.col("top_size").alias("here")), 0, trees, depth)
+    by = F.split("wanted_by", " ", 2)
+    fetched = wanted.join(inner.unionByName(outer), ["tree", "level", "idx"]).select(by[1].alias("tree"), by[0].cast("bigint").alias("block"), F.col("tree").alias("of"), "level", "idx", "digest")
     kind = leaves.schema["doc_id"].dataType.simpleString()
 
     def expand(own: pa.Table, other: pa.Table) -> pa.Table:

@@ -211,4 +211,4 @@ def test_empty_tables(docs):
 
 def test_checksum_of_the_sql():
     sql = "select xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(encode(said))), lambda i: ('0x' || substr(hex(encode(said)), 2 * i + 1, 2))::bigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) from (select '12:hêllo' as said)"
-    assert duckdb.sql(sql).fetchone()[0] == zlib.crc32("12:hêllo".encode()) and "op13_spelling" in queries.SQL
+    assert duckdb.connect().execute(sql).fetchone()[0] == zlib.crc32("12:hêllo".encode()) and "op13_spelling" in queries.SQL
