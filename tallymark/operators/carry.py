@@ -34,6 +34,17 @@ def lag_across(df: DataFrame, keys: Sequence[str], segment: str, order: Sequence
     return out.select(*df.columns, *[F.col(f"_prev.{c}").alias(prefix + c) for c in columns])
 
 
+def max_before_across(df: DataFrame, keys: Sequence[str], segment: str, order: Sequence[str], value: Column, out_col: str) -> DataFrame:
+    """Greatest value among the earlier rows of the key; null on its first row."""
+    df = df.withColumn("_v", value)
+    before = Window.partitionBy(*keys, segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
+    edges = _edges(df, keys, segment, F.max("_v"), "_edge").select(*keys, segment, F.max("_edge").over(across).alias("_edge"))
+    out = _attach(df.withColumn("_own", F.max("_v").over(before)), edges, keys, segment)
+    # greatest() skips nulls, as a first row and a first segment have.
+    return out.withColumn(out_col, F.greatest("_own", "_edge")).drop("_v", "_own", "_edge")
+
+
 def running_sum_across(df: DataFrame, keys: Sequence[str], segment: str, order: Sequence[str], value: Column, out_col: str) -> DataFrame:
     """Inclusive running sum within the key: local sum plus the sum of earlier segments."""
     inner = Window.partitionBy(*keys, segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

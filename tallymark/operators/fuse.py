@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import text as tx
 from tallymark.operators import classify as cl
+from tallymark.session import cut_lineage
 
 # fixed values
 EMPTY_WORDS = ("", "not_visible", "unknown", "none")
 COEXIST = ("SERVING_SIZE", "INGREDIENT_QUANTITY")
 CONFLICT_CONFIDENCE = 0.45
 AGREEMENT_BONUS = 0.03
+GRID = 50.0
 
 
 def merge_fields(sources: DataFrame, keys: tuple[str, str] = ("product_id", "field_name"), ord_col: str = "ord") -> tuple[DataFrame, DataFrame]:
@@ -132,6 +134,61 @@ def cluster_readings(readings: Column) -> Column:
     return F.aggregate(readings, F.array(F.slice(readings, 1, 0)), lambda acc, r: step(F.filter(acc, lambda g: F.size(g) > 0), r))
 
 
+def reading_pairs(readings: DataFrame) -> DataFrame:
+    """(image_id, a, b): readings a < b (by ord) of an image that agree: IoU above .35, or above .15 with similar text.
+
+    Such boxes overlap, so readings meet in the cells of a grid that they
+    touch; a pair is taken in one cell only, that of the upper left corner of
+    the intersection.
+    """
+    steps = lambda low, size: F.explode(F.sequence(F.floor(low / GRID), F.floor((low + size) / GRID)))
+    r = readings.filter((F.col("w") > 0) & (F.col("h") > 0)).select("image_id", F.col("ord").alias("a"), F.struct("x", "y", "w", "h").alias("p"), tx.strip(F.lower(F.coalesce("text", F.lit("")))).alias("t"))
+    r = r.withColumn("gx", steps(F.col("p.x"), F.col("p.w"))).withColumn("gy", steps(F.col("p.y"), F.col("p.h")))
+    other = r.select("image_id", "gx", "gy", F.col("a").alias("b"), F.col("p").alias("q"), F.col("t").alias("u"))
+    once = (F.col("gx") == F.floor(F.greatest("p.x", "q.x") / GRID)) & (F.col("gy") == F.floor(F.greatest("p.y", "q.y") / GRID))
+    met = r.join(other, ["image_id", "gx", "gy"]).filter((F.col("a") < F.col("b")) & once).select("image_id", "a", "b", "t", "u", iou(F.col("p"), F.col("q")).alias("overlap"))
+    return met.filter((F.col("overlap") > 0.35) | ((F.col("overlap") > 0.15) & (tx.similarity(F.col("t"), F.col("u")) > 0.55))).select("image_id", "a", "b")
+
+
+def reading_groups(readings: DataFrame) -> DataFrame:
+    """(image_id, ord, leader): the first reading of the group that each reading joins.
+
+    A reading joins the first group whose first reading it agrees with, else it
+    starts one.  Readings are rows (image_id, ord, text, x, y, w, h), so a dense
+    image is spread over tasks.  In each round, readings that no open earlier
+    one agrees with lead and those they agree with follow.
+    """
+    edges = cut_lineage(reading_pairs(readings))
+    open_, followers = edges, None
+    while not open_.isEmpty():
+        key = ["image_id", "a"]
+        leading = open_.select(*key).join(open_.select("image_id", F.col("b").alias("a")), key, "left_anti").distinct()
+        led = cut_lineage(open_.join(leading, key, "left_semi").select("image_id", "b").distinct())
+        followers = led if followers is None else followers.unionByName(led)
+        open_ = cut_lineage(open_.join(led, ["image_id", "b"], "left_anti").join(led.withColumnRenamed("b", "a"), key, "left_anti"))
+    own = readings.select("image_id", "ord")
+    if followers is None:
+        return own.withColumn("leader", F.col("ord"))
+    first = edges.join(followers.withColumnRenamed("b", "a"), ["image_id", "a"], "left_anti").join(followers, ["image_id", "b"], "left_semi")
+    first = first.groupBy("image_id", F.col("b").alias("ord")).agg(F.min("a").alias("leader"))
+    return own.join(first, ["image_id", "ord"], "left").withColumn("leader", F.coalesce("leader", "ord"))
+
+
+def consensus_readings(readings: DataFrame) -> DataFrame:
+    """One row for each group of agreeing readings: voted text, confidence, status, surest box, agreement and competing texts.
+
+    A group holds the readings of one printed line, one for each pass, so its
+    texts are few.
+    """
+    grouped = readings.join(reading_groups(readings), ["image_id", "ord"])
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda r: r["text"])
+    g = grouped.groupBy("image_id", "leader").agg(texts.alias("texts"), F.count(F.lit(1)).alias("agreement"), F.max_by(F.struct("x", "y", "w", "h"), F.struct("confidence", -F.col("ord"))).alias("box"))
+    g = g.withColumn("v", F.explode(F.array(character_vote(F.col("texts")))))
+    sure = tx.has(F.col("v.text"), r"[\p{L}\p{N}]") & (F.col("v.confidence") >= 0.25)
+    return g.select("image_id", "leader", F.col("v.text").alias("text"), F.col("v.confidence").alias("confidence"), F.when(sure, "CONFIRMED").otherwise("OCR_UNCERTAIN").alias("status"),
+                    "box.*", "agreement", F.array_sort(F.array_distinct(F.filter("texts", lambda t: t != F.col("v.text")))).alias("competing"))
+
+
 def character_vote(strings: Column) -> Column:
     """Majority text of several readings: struct<text,confidence>.
 

@@ -7,10 +7,12 @@ handled inside its own row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallymark.functions import lexicon as lx
 from tallymark.functions import text as tx
@@ -27,6 +29,10 @@ BLOCK_OVERLAP = 0.2
 SECTION_GAP = 200.0
 SEGMENT_HEIGHT = 100.0
 LARGE, SMALL = 1.5, 0.7
+ISLANDS = 10_000
+VALUE_BELOW, VALUE_SHIFT, VALUE_LEVEL, VALUE_BESIDE = 60, 180, 20, 80
+NEIGHBOUR_DX = 25.0
+GRID = 50.0
 HEADINGS = [
     ("NET_QUANTITY", r"(?i)^(?:net\s+(?:quantity|qty|wt|volume|weight|mass))\b[.:;=\-]?\s*"),
     ("SERVING_SIZE", r"(?i)^(?:serving\s+size)\b[.:;=\-]?\s*"),
@@ -64,14 +70,50 @@ def reading_order(boxes: DataFrame, band: float = READING_BAND, tie: str = "id")
     return carry.row_number_across(b, ["image_id"], "segment", ["band", "x", tie], "reading_order").drop("segment")
 
 
+def _fold_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the lines of each island, for words that arrive island by island in order."""
+    current, lines, made = None, [], 0
+    for batch in batches:
+        numbers = []
+        for image, island, y, h in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("image_id", "_island", "y", "h"))):
+            if (image, island) != current:
+                current, lines, made = (image, island), [], 0
+            cy = y + h / 2
+            # A line that ends above this word ends above all that follow.
+            lines = [line for line in lines if line[1] / line[3] + SAME_LINE * line[2] / line[3] >= y]
+            for line in lines:
+                if abs(cy - line[1] / line[3]) <= line[2] / line[3] * SAME_LINE:
+                    line[1], line[2], line[3] = line[1] + cy, line[2] + h, line[3] + 1
+                    numbers.append(line[0])
+                    break
+            else:
+                made += 1
+                lines.append([made, cy, h, 1])
+                numbers.append(made)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "_line"])
+
+
 def words_to_lines(words: DataFrame, tie: str = "id") -> DataFrame:
-    """Add ``line_no`` and ``part_no``: a new line where the centre drops by more
-    than 0.55 of the height, a new part where the gap to the left is wide."""
-    w = segmented(words).withColumn("cy", F.col("y") + F.col("h") / 2)
+    """Add ``line_no`` and ``part_no``: a word joins the first line whose mean centre
+    is within 0.55 of its mean height, and a wide gap to the left starts a part.
+
+    Words are taken by y and x, and every word moves the means of its line, so
+    the rule is a fold.  It runs apart in each island: a word that begins below
+    centre + 0.55 height of all words before it can join none of their lines,
+    nor can any word after it.  Islands of one image go to different tasks, and
+    a task keeps only the lines that may still grow.
+    """
+    w = segmented(words)
     order = ["y", "x", tie]
-    w = carry.lag_across(w, ["image_id"], "segment", order, ["cy", "h"])
-    new_line = F.col("prev_cy").isNull() | (F.abs(F.col("cy") - F.col("prev_cy")) > SAME_LINE * (F.col("h") + F.col("prev_h")) / 2)
-    w = carry.running_sum_across(w, ["image_id"], "segment", order, new_line.cast("int"), "line_no").drop("prev_cy", "prev_h", "segment", "cy")
+    w = carry.max_before_across(w, ["image_id"], "segment", order, F.col("y") + F.col("h") / 2 + SAME_LINE * F.col("h"), "_reach")
+    cut = (F.col("_reach").isNull() | (F.col("y") > F.col("_reach"))).cast("int")
+    w = carry.running_sum_across(w, ["image_id"], "segment", order, cut, "_island").select(*words.columns, "_island")
+    dealt = w.repartition("image_id", "_island").sortWithinPartitions("image_id", "_island", *order)
+    w = dealt.mapInArrow(_fold_lines, StructType([*w.schema.fields, StructField("_line", LongType())]))
+    # Lines of earlier islands come first: one row for each island is carried.
+    islands = w.groupBy("image_id", "_island").agg(F.max("_line").alias("_lines")).withColumn("_seg", F.floor(F.col("_island") / ISLANDS))
+    islands = carry.running_sum_across(islands, ["image_id"], "_seg", ["_island"], F.col("_lines"), "_upto").select("image_id", "_island", (F.col("_upto") - F.col("_lines")).alias("_before"))
+    w = w.join(islands, ["image_id", "_island"]).withColumn("line_no", F.col("_before") + F.col("_line")).select(*words.columns, "line_no")
     # Inside one printed line the words are few; they are ordered by x.
     by_x = Window.partitionBy("image_id", "line_no").orderBy("x", tie)
     gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(by_x)
@@ -156,6 +198,31 @@ def heading_values(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
                     F.when(same, "SAME_LINE").otherwise("PROXIMITY").alias("association"), F.when(same, 0.98).otherwise(0.94).alias("confidence")).filter("value is not null")
 
 
+def heading_values_by_box(regions: DataFrame, tie: str = "id") -> DataFrame:
+    """Heading-value pairs of regions with boxes: same region .98, else the next region .94.
+
+    Regions follow by y, x and ``tie``.  A heading without a value of its own
+    takes the region after it, if that is no heading and lies close: at most 60
+    below with less than 180 between the left edges, or less than 20 off its
+    level and at most 80 to the right.  A region follows one region only, so it
+    is a value once.
+    """
+    s = segmented(regions.withColumn("text", tx.strip(F.coalesce("text", F.lit("")))))
+    order = ["y", "x", tie]
+    s = carry.lag_across(s, ["image_id"], "segment", order, [tie, "text", "x", "y", "w", "h"], prefix="up_")
+    s = s.select("*", heading_of(F.col("text")).alias("_own"), heading_of(F.col("up_text")).alias("_up"))
+    below, right = F.col("y") - (F.col("up_y") + F.col("up_h")), F.col("x") - (F.col("up_x") + F.col("up_w"))
+    under = below.between(0, VALUE_BELOW) & (F.abs(F.col("x") - F.col("up_x")) < VALUE_SHIFT)
+    beside = (F.abs(F.col("y") - F.col("up_y")) < VALUE_LEVEL) & (right >= 0) & (right < VALUE_BESIDE)
+    taken = F.col("_own").isNull() & (F.col("text") != "") & (F.col("_up.value") == "") & (under | beside)
+
+    def pair(heading: Column, value_of: str, head_id: str, kind: str, sure: float) -> Column:
+        return F.struct(F.col(head_id).alias("heading_id"), F.col(tie).alias("value_id"), heading["field"].alias("field"), F.col(value_of).alias("value"), F.lit(kind).alias("association"), F.lit(sure).alias("confidence"))
+
+    found = F.when(F.col("_own.value") != "", pair(F.col("_own"), "_own.value", tie, "SAME_LINE", 0.98)).when(taken, pair(F.col("_up"), "text", f"up_{tie}", "PROXIMITY", 0.94))
+    return s.select("image_id", found.alias("f")).filter("f is not null").select("image_id", "f.*")
+
+
 def prominence(lines: DataFrame) -> DataFrame:
     """Relative size and zone of each line; the mean height is one row per image."""
     mean = lines.filter("h > 0").groupBy("image_id").agg(F.avg("h").alias("avg_height"))
@@ -218,6 +285,30 @@ def neighbours(boxes: Column, max_dy: float = 14.0) -> Column:
     return F.transform(boxes, lambda a: F.struct(a["id"].alias("id"), near(a).alias("near")))
 
 
+def neighbour_rows(lines: DataFrame, max_dy: float = 14.0) -> DataFrame:
+    """(image_id, id, near): pairs of lines of an image that stand close, as rows.
+
+    ``near`` begins at most ``max_dy`` off the lower edge of the line and
+    overlaps it sideways, or has its left edge within 25.  Lines meet by bands
+    of y and cells of x; a pair is taken in one cell only, that of the greater
+    left end.  A line without a box (null y) has its neighbours by number
+    instead: ``id`` - 1, + 1 and + 2, with or without a box.
+    """
+    boxed = lines.filter(F.col("y").isNotNull())
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / GRID), F.floor(high / GRID)))
+    reach = F.greatest(F.col("x") + F.col("w"), F.col("x") + NEIGHBOUR_DX)
+    lower = F.col("y") + F.col("h")
+    targets = boxed.select("image_id", "id", "x", "w", lower.alias("lower"), (F.col("x") - NEIGHBOUR_DX).alias("left"), reach.alias("right"), F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(lower / max_dy) + d)).alias("band"))
+    targets = targets.withColumn("cell", cells(F.col("left"), F.col("right")))
+    others = boxed.select("image_id", F.col("id").alias("near"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2"), F.floor(F.col("y") / max_dy).alias("band")).withColumn("cell", cells(F.col("x2"), F.col("x2") + F.col("w2")))
+    overlap = F.least(F.col("x") + F.col("w"), F.col("x2") + F.col("w2")) - F.greatest("x", "x2")
+    once = F.col("cell") == F.floor(F.greatest("left", "x2") / GRID)
+    close = (F.col("id") != F.col("near")) & (F.abs(F.col("y2") - F.col("lower")) <= max_dy) & ((overlap > 0) | (F.abs(F.col("x") - F.col("x2")) < NEIGHBOUR_DX))
+    by_box = targets.join(others, ["image_id", "band", "cell"]).filter(once & close).select("image_id", "id", "near")
+    steps = lines.filter(F.col("y").isNull()).select("image_id", "id", F.explode(F.array(F.col("id") - 1, F.col("id") + 1, F.col("id") + 2)).alias("near"))
+    return by_box.unionByName(steps.join(lines.select("image_id", F.col("id").alias("near")), ["image_id", "near"]).select("image_id", "id", "near"))
+
+
 def words_in_cells(words: DataFrame, cells: DataFrame, grid: float = 50.0) -> DataFrame:
     """Word to table cell by its centre.
 

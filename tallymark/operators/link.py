@@ -137,24 +137,32 @@ def leader_clusters(images: DataFrame, session: str, ord_col: str) -> DataFrame:
 def entity_links(entities: DataFrame, product: str = "product_id", ord_col: str = "ord", segment_size: int = 10_000) -> DataFrame:
     """Links of parties across panels: same role or same name.
 
-    Each party is linked to the one before it with the same role and to the one
-    before it with the same name.  The chain connects exactly the parties that
-    a list of all pairs would connect, with one row per party instead of one
-    per pair; address parts of both ends are joined.
+    The images of a product that show a role (or a name) follow one another.
+    The first party of each image is linked with every party of the image
+    before, and every party with the first one of the image before.  That
+    connects exactly the parties that a list of all pairs of different images
+    would connect, with two rows a party at most instead of one a pair; address
+    parts of both ends are joined.
     """
     e = entities.filter(F.col("name").isNotNull() & (F.col("name") != "NOT_VISIBLE"))
-    e = e.withColumn("_role", F.upper("role")).withColumn("_name", F.lower(F.trim("name"))).withColumn("_seg", F.floor(F.col(ord_col) / segment_size))
-    fields = [ord_col, "image_id", "name", "address", "confidence", "role"]
+    party = F.struct(F.col(ord_col).alias("ord"), "image_id", "name", "address", "confidence", "role")
+    e = e.select(product, F.upper("role").alias("_role"), F.lower(F.trim("name")).alias("_name"), "image_id", party.alias("party"))
 
     def chain(key: str) -> DataFrame:
-        return carry.lag_across(e, [product, key], "_seg", [ord_col], fields, prefix="p_").filter("p_image_id is not null and p_image_id <> image_id")
-
-    both = chain("_role").unionByName(chain("_name")).dropDuplicates([product, f"p_{ord_col}", ord_col])
-    address = F.when(F.col("p_address") == F.col("address"), F.col("address")).otherwise(F.concat_ws(", ", "p_address", "address"))
-    lead = F.when(F.col("p_address").isNull() & F.col("address").isNotNull(), F.col("name")).otherwise(F.col("p_name"))
+        shown = e.groupBy(product, key, "image_id").agg(F.min("party").alias("first")).withColumn("at", F.col("first.ord")).withColumn("_seg", F.floor(F.col("at") / segment_size))
+        before = carry.lag_across(shown, [product, key], "_seg", ["at"], ["image_id", "first"], prefix="p_").filter("p_image_id is not null")
+        here = [product, key, "image_id"]
+        back = e.join(before.select(*here, F.col("p_first").alias("a")), here).select(product, "a", F.col("party").alias("b"))
+        forth = e.join(before.select(product, key, F.col("p_image_id").alias("image_id"), F.col("first").alias("b")), here).select(product, F.col("party").alias("a"), "b")
+        return back.unionByName(forth)
+
+    both = chain("_role").unionByName(chain("_name")).dropDuplicates([product, "a", "b"])
+    one, other = F.col("a.address"), F.col("b.address")
+    address = F.when(one == other, other).otherwise(F.concat_ws(", ", one, other))
+    lead = F.when(one.isNull() & other.isNotNull(), F.col("b.name")).otherwise(F.col("a.name"))
     return both.select(
-        product, F.concat(F.upper("p_role"), F.lit("_LINK")).alias("entity_type"), F.col("p_image_id").alias("source_image_id"), F.col("image_id").alias("target_image_id"),
-        F.round(F.least("p_confidence", "confidence"), 2).alias("confidence"), F.concat_ws(" — ", lead, F.nullif(address, F.lit(""))).alias("linked_value"))
+        product, F.concat(F.upper("a.role"), F.lit("_LINK")).alias("entity_type"), F.col("a.image_id").alias("source_image_id"), F.col("b.image_id").alias("target_image_id"),
+        F.round(F.least("a.confidence", "b.confidence"), 2).alias("confidence"), F.concat_ws(" — ", lead, F.nullif(address, F.lit(""))).alias("linked_value"))
 
 
 def panel_completeness(images: DataFrame, product: str = "product_id") -> DataFrame:

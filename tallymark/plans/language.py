@@ -394,13 +394,18 @@ def knowledge_statistics(spark, d):
     return an.kb_statistics(kb)
 
 
+_RULE_NO = "case p_partkey % 4 when 0 then 'OIL & F' when 1 then ' farm PRODUCE' when 2 then 'rule' end"
+_SUB_RULE = "case p_partkey % 3 when 0 then 'gen' when 1 then p_brand else '(a)' end"
+
+
 @query("rule_citations", "J22", f"""
-with {SQL_KB}, ids as (select 'KB-' || substr(sha256(cast(doc_id as varchar) || ':' || cast(paragraph as varchar)), 1, 12) as id, lower(product_category) as c, source from kb where relevant),
-f as (select c, min(id) as id, arg_min(source, id) as source from ids group by 1)
-select p_partkey, f.id as citation_id, coalesce(f.source, 'Legal Metrology (Packaged Commodities) Rules, 2011') as citation_source
-from part left join f on f.c = case p_partkey % 3 when 0 then 'edible oil & fats' when 1 then 'agricultural / farm produce' else 'none' end""")
+with {SQL_KB}, ids as (select doc_id, paragraph, 'KB-' || substr(sha256(cast(doc_id as varchar) || ':' || cast(paragraph as varchar)), 1, 12) as id, lower(product_category) as c, lower(sub_rule_or_clause) as s, source from kb where relevant),
+asked as (select distinct lower(trim({_RULE_NO})) as k from part union select distinct lower(trim({_SUB_RULE})) from part),
+f as (select k, arg_min(id, doc_id * 1000000 + paragraph) as id, arg_min(source, doc_id * 1000000 + paragraph) as source from asked join ids on contains(c, k) or contains(s, k) group by k)
+select p_partkey, coalesce(a.id, b.id) as citation_id, coalesce(a.source, b.source, 'Legal Metrology (Packaged Commodities) Rules, 2011') as citation_source
+from part left join f a on a.k = lower(trim({_RULE_NO})) left join f b on b.k = lower(trim({_SUB_RULE}))""")
 def rule_citations(spark, d):
+    """The driver's documents name products, hardly any rule, so their product tags stand for rule numbers."""
     kb = no.knowledge_entries(table(spark, d, "documents"), ["doc_id"]).withColumn("rule_number", F.col("product_category"))
-    checks = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("sub_rule"), F.element_at(
-        F.array(F.lit("Edible Oil & Fats"), F.lit("Agricultural / Farm Produce"), F.lit("none")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("rule_no"))
-    return no.attach_citation(checks, kb).select("p_partkey", "citation_id", "citation_source")
+    checks = table(spark, d, "part").selectExpr("p_partkey", f"{_RULE_NO} as rule_no", f"{_SUB_RULE} as sub_rule")
+    return no.attach_citation(checks, kb, ["doc_id", "paragraph"]).select("p_partkey", "citation_id", "citation_source")

@@ -38,13 +38,21 @@ def reading_order(spark, d):
     return ly.reading_order(boxes(spark, d)).select("id", "image_id", "reading_order")
 
 
+# The rule itself, word by word: the state is the list of an image's lines (sums of centre and height, words).
 SQL_LINES = f"""{SQL_BOX},
-b1 as (select *, y + h / 2 as cy, lag(y + h / 2) over w0 as pcy, lag(h) over w0 as ph from box window w0 as (partition by image_id order by y, x, id)),
-b2 as (select *, cast(sum(case when pcy is null or abs(cy - pcy) > 0.55::double * (h + ph) / 2 then 1 else 0 end) over (partition by image_id order by y, x, id rows unbounded preceding) as bigint) as line_no from b1)"""
+w0 as materialized (select *, y + h / 2 as cy, row_number() over (partition by image_id order by y, x, id) as r from box),
+fold as (
+  select image_id, r, id, 1::bigint as line_no, [struct_pack(c := cy, h := h, n := 1::double)] as ls from w0 where r = 1
+  union all
+  select image_id, r, id, case when pos > 0 then pos else len(ls) + 1 end,
+    case when pos > 0 then list_transform(ls, lambda s, i: case when i = pos then struct_pack(c := s.c + cy, h := s.h + h, n := s.n + 1) else s end) else list_append(ls, struct_pack(c := cy, h := h, n := 1::double)) end
+  from (select w.image_id, w.r, w.id, w.cy, w.h, f.ls, coalesce(list_position(list_transform(f.ls, lambda s: abs(w.cy - s.c / s.n) <= s.h / s.n * 0.55::double), true), 0)::bigint as pos
+    from fold f join w0 w on w.image_id = f.image_id and w.r = f.r + 1)),
+b2 as materialized (select b.*, f.line_no from box b join fold f on f.id = b.id)"""
 
 
 @query("words_to_lines", "W2 W10", f"""
-with {SQL_LINES}, b3 as (select *, x - lag(x + w) over w1 as gap, lag(h) over w1 as lh from b2 window w1 as (partition by image_id, line_no order by x, id)),
+with recursive {SQL_LINES}, b3 as (select *, x - lag(x + w) over w1 as gap, lag(h) over w1 as lh from b2 window w1 as (partition by image_id, line_no order by x, id)),
 b4 as (select *, cast(sum(case when gap > greatest(45::double, 3.5::double * (h + lh) / 2) then 1 else 0 end) over (partition by image_id, line_no order by x, id rows unbounded preceding) as bigint) as part_no from b3)
 select image_id, line_no, part_no, round(min(x), 2) as x, round(min(y), 2) as y, round(max(x + w) - min(x), 2) as w, round(max(y + h) - min(y), 2) as h, count(*) as members from b4 group by 1, 2, 3""")
 def words_to_lines(spark, d):
@@ -93,6 +101,22 @@ def heading_values(spark, d):
     return ly.heading_values(tr.explode_lines(labels(spark, d), ["doc_id"]), ["doc_id"])
 
 
+REGION_TEXT = "case l_linenumber % 6 when 0 then 'MRP:' when 1 then concat('Net Qty: ', cast(cast(l_quantity as int) as {t}), ' g') when 2 then ' Mfd by ' when 3 then '' when 4 then concat('Acme ', l_returnflag) else 'Batch No.' end"
+
+
+@query("heading_values_by_box", "W5", f"""
+with {SQL_BOX}, t as (select l_orderkey * 10 + l_linenumber as id, min(trim({REGION_TEXT.format(t='varchar')})) as t from lineitem group by 1),
+r as (select b.* exclude (text), t.t as text from box b join t on t.id = b.id),
+p as (select *, lead(id) over w as nid, lead(text) over w as nt, lead(x) over w as nx, lead(y) over w as ny from r window w as (partition by image_id order by y, x, id)),
+h as (select *, {_heading_sql('text', 'field')} as field, {_heading_sql('text', 'value')} as v, {_heading_sql('nt', 'field')} as nf from p)
+select image_id, id as heading_id, case when v <> '' then id else nid end as value_id, field, case when v <> '' then v else nt end as value, case when v <> '' then 'SAME_LINE' else 'PROXIMITY' end as association,
+  case when v <> '' then 0.98::double else 0.94::double end as confidence
+from h where field is not null and (v <> '' or (nf is null and nt <> '' and ((ny - (y + h) between 0 and 60 and abs(nx - x) < 180) or (abs(ny - y) < 20 and nx - (x + w) >= 0 and nx - (x + w) < 80))))""")
+def heading_values_by_box(spark, d):
+    t = table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as id", f"{REGION_TEXT.format(t='string')} as t").groupBy("id").agg(F.min(F.trim("t")).alias("text"))
+    return ly.heading_values_by_box(boxes(spark, d).drop("text").join(t, "id"))
+
+
 @query("line_prominence", "W8", f"""
 with {SQL_BOX}, a as (select image_id, avg(h) as avg_height from box group by 1),
 s as (select id, y / 10 as y, case when h >= avg_height * 1.5::double then 'large' when h <= avg_height * 0.7::double then 'small' else 'medium' end as relative_size from box join a using (image_id))
@@ -148,6 +172,18 @@ def line_neighbours(spark, d):
     return p.select("image_id", F.inline(ly.neighbours(F.col("boxes")))).select("image_id", "id", F.array_join(F.col("near").cast("array<string>"), ",").alias("near"))
 
 
+@query("neighbour_rows", "J19", f"""
+with {SQL_BOX}, n as (select image_id, row_number() over (partition by image_id order by y, x, id) as id, case when id % 7 <> 0 then x end as x, case when id % 7 <> 0 then y end as y, w, h from box)
+select a.image_id, a.id, b.id as near from n a join n b on a.image_id = b.image_id and a.id <> b.id
+where (a.y is not null and b.y is not null and abs(b.y - (a.y + a.h)) <= 14 and (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) > 0 or abs(a.x - b.x) < 25)) or (a.y is null and b.id - a.id in (-1, 1, 2))""")
+def neighbour_rows(spark, d):
+    """Boxes of every seventh line item are taken away, so that both rules are used."""
+    b = boxes(spark, d)
+    n = ly.carry.row_number_across(ly.segmented(b), ["image_id"], "segment", ["y", "x", "id"], "number")
+    shown = F.col("id") % 7 != 0
+    return ly.neighbour_rows(n.select("image_id", F.col("number").alias("id"), F.when(shown, F.col("x")).alias("x"), F.when(shown, F.col("y")).alias("y"), "w", "h"))
+
+
 @query("words_in_cells", "J20", f"""
 with {SQL_BOX}, c as (select p_partkey as cell_id, p_partkey % 50 as image_id, cast(p_partkey * 13 % 380 as double) as x, cast(p_partkey * 29 % 960 as double) as y, 90.0::double as w, 70.0::double as h from part)
 select b.id, c.cell_id from box b join c on b.image_id = c.image_id and b.x + b.w / 2 between c.x and c.x + c.w and b.y + b.h / 2 between c.y and c.y + c.h""")

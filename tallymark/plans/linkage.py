@@ -158,10 +158,14 @@ def _two_parties(spark, d):
 with m as (select l_orderkey as product_id, l_linenumber as n, min(l_suppkey) % 3 as s from lineitem group by 1, 2),
 e as (select product_id, n, n * 2 + k as ord, cast(n as varchar) as image_id, case when n % 3 = 0 then 'packer' else 'Manufacturer' end as role,
   case k when 0 then 'Maker ' || cast(s as varchar) else 'Trader ' || cast(product_id % 2 as varchar) end as name, case when n % 2 = 0 then 'Plot ' || cast(n as varchar) end as address, 0.7::double + n * 0.03::double as confidence from m, (values (0), (1)) as v(k)),
-l as (select product_id, ord, lag(ord) over (partition by product_id, upper(role) order by ord) as p from e union select product_id, ord, lag(ord) over (partition by product_id, lower(trim(name)) order by ord) from e)
+k as (select *, 'r' || upper(role) as key from e union all select *, 'n' || lower(trim(name)) from e),
+g as (select product_id, key, image_id, min(ord) as first from k group by all),
+c as (select *, lag(image_id) over w as p_image, lag(first) over w as p_first from g window w as (partition by product_id, key order by first)),
+l as (select k.product_id, c.p_first as p, k.ord as ord from k join c on c.product_id = k.product_id and c.key = k.key and c.image_id = k.image_id where c.p_first is not null
+  union select k.product_id, k.ord, c.first from k join c on c.product_id = k.product_id and c.key = k.key and c.p_image = k.image_id)
 select l.product_id, upper(a.role) || '_LINK' as entity_type, a.image_id as source_image_id, b.image_id as target_image_id, round(least(a.confidence, b.confidence), 2) as confidence,
   concat_ws(' — ', case when a.address is null and b.address is not null then b.name else a.name end, nullif(case when a.address = b.address then b.address else concat_ws(', ', a.address, b.address) end, '')) as linked_value
-from l join e a on a.product_id = l.product_id and a.ord = l.p join e b on b.product_id = l.product_id and b.ord = l.ord where a.image_id <> b.image_id""")
+from l join e a on a.product_id = l.product_id and a.ord = l.p join e b on b.product_id = l.product_id and b.ord = l.ord""")
 def entity_links(spark, d):
     return lk.entity_links(_two_parties(spark, d))
 
@@ -217,6 +221,30 @@ def reading_consensus(spark, d):
     return v.select("id", F.size("g").alias("groups"), fu.character_vote(F.transform(F.get("g", F.lit(0)), lambda x: x["text"]))["text"].alias("text"))
 
 
+# Three passes over each line item: shifted boxes, texts with reading errors.
+_READ = {"x": "cast(l_linenumber * 17 % 60 as double) + pass * 4.0", "y": "cast(l_linenumber * 9 as double) + pass * 1.5", "w": "40.0 + cast(cast(l_quantity as int) as double)", "h": "10.0 + cast(l_linenumber % 3 as double)",
+         "text": "concat(case when pass = 2 and l_quantity > 25 then 'Net Wt S' else 'Net Wt 5' end, l_returnflag, case when pass = 1 then '9' else 'g' end)"}
+_READ_COLS = ", ".join(f"min(cast({e} as double)) as {c}" if c != "text" else f"min({e}) as text" for c, e in _READ.items())
+
+
+@query("reading_groups", "J14", f"""
+with recursive r0 as (select l_orderkey as image_id, l_linenumber * 3 + pass as ord, {_READ_COLS} from lineitem, (values (0), (1), (2)) as v(pass) group by 1, 2),
+r as materialized (select *, row_number() over (partition by image_id order by ord) as k, lower(text) as t from r0),
+fold as (
+  select image_id, k, ord, ord as leader, [struct_pack(ord := ord, x := x, y := y, w := w, h := h, t := t)] as ls from r where k = 1
+  union all
+  select image_id, k, ord, case when pos > 0 then ls[pos].ord else ord end, case when pos > 0 then ls else list_append(ls, me) end
+  from (select n.image_id, n.k, n.ord, f.ls, struct_pack(ord := n.ord, x := n.x, y := n.y, w := n.w, h := n.h, t := n.t) as me,
+    coalesce(list_position(list_transform(list_transform(f.ls, lambda s: struct_pack(t := s.t, i := greatest(0::double, least(s.x + s.w, n.x + n.w) - greatest(s.x, n.x)) * greatest(0::double, least(s.y + s.h, n.y + n.h) - greatest(s.y, n.y)), area := s.w * s.h + n.w * n.h)),
+      lambda o: o.i / (o.area - o.i) > 0.35::double or (o.i / (o.area - o.i) > 0.15::double and 1.0::double - levenshtein(o.t, n.t) / greatest(length(o.t), length(n.t))::double > 0.55::double)), true), 0)::bigint as pos
+    from fold f join r n on n.image_id = f.image_id and n.k = f.k + 1))
+select image_id, ord, leader from fold""")
+def reading_groups(spark, d):
+    passes = table(spark, d, "lineitem").withColumn("pass", F.explode(F.array(*map(F.lit, range(3)))))
+    rows = passes.groupBy(F.col("l_orderkey").alias("image_id"), (F.col("l_linenumber") * 3 + F.col("pass")).alias("ord")).agg(*[F.min(F.expr(e)).alias(c) for c, e in _READ.items()])
+    return fu.reading_groups(rows)
+
+
 @query("character_votes", "J15", """
 select p_partkey as id, 'A1' || cast(p_size % 10 as varchar) as text, round(0.65::double + 0.3::double, 3) as confidence from part""")
 def character_votes(spark, d):

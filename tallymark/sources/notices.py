@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,20 +107,47 @@ def entry_by_id(entries: DataFrame, entry_id: str) -> DataFrame:
     return entries.filter(F.col("entry_id") == entry_id)
 
 
-def attach_citation(checks: DataFrame, entries: DataFrame, fallback: str = "Legal Metrology (Packaged Commodities) Rules, 2011") -> DataFrame:
-    """Citation per check: entry with the same rule number, else the same sub-rule.
+def _pieces(text: Column, size: int) -> Column:
+    """Distinct runs of up to ``size`` letters of a text."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    return F.array_distinct(F.filter(F.concat(*[runs(n) for n in range(1, size + 1)]), lambda p: p != ""))
+
+
+def first_containing(wanted: DataFrame, entries: DataFrame, fields: Sequence[str], order: Sequence[str], size: int = 3) -> DataFrame:
+    """(wanted, hit): for each distinct string of ``wanted`` the first entry that holds it in one of ``fields``.
 
-    Each lookup key is reduced to its first entry before the join, so a rule
-    with very many entries adds one row, not one per entry.
+    Without regard to case.  A string asks by its rarest run of three letters
+    (all of it, where it is shorter); only texts with that run are searched.
+    Equal field texts are one, with their first entry, so entries that repeat a
+    rule number by the million are looked at once.
     """
-    def first(key: str) -> DataFrame:
-        return entries.groupBy(F.lower(F.col(key)).alias(f"k_{key}")).agg(
-            F.min_by(F.struct("entry_id", "source"), F.col("entry_id")).alias(f"hit_{key}"))
-
-    by_rule, by_sub = first("rule_number"), first("sub_rule_or_clause")
-    joined = (
-        checks.join(by_rule, F.lower("rule_no") == F.col("k_rule_number"), "left")
-        .join(by_sub, F.lower("sub_rule") == F.col("k_sub_rule_or_clause"), "left")
-    )
-    hit = F.coalesce(F.col("hit_rule_number"), F.col("hit_sub_rule_or_clause"))
+    first = F.min(F.struct(*[F.col(c) for c in order], F.struct(*[F.col(c) for c in entries.columns if c not in order]).alias("_rest")))
+    held = entries.select(F.explode(F.array(*[F.lower(F.coalesce(F.col(f), F.lit(""))) for f in fields])).alias("_text"), *entries.columns).groupBy("_text").agg(first.alias("hit"))
+    listed = held.select("_text", "hit", F.explode(_pieces(F.col("_text"), size)).alias("piece"))
+    often = listed.groupBy("piece").agg(F.count(F.lit(1)).alias("many"))
+    asked = wanted.select(F.lower(F.trim("wanted")).alias("key")).filter("key is not null").distinct()
+    whole = F.least(F.length("key"), F.lit(size))
+    parts = asked.filter("key <> ''").select("key", F.explode(F.filter(_pieces(F.col("key"), size), lambda p: F.length(p) == whole)).alias("piece"))
+    rarest = parts.join(often, "piece").groupBy("key").agg(F.min(F.struct("many", "piece"))["piece"].alias("piece"))
+    hits = rarest.join(listed, "piece").filter(F.contains("_text", F.col("key"))).groupBy("key").agg(F.min("hit").alias("hit"))
+    # An empty string is in every text.
+    anything = held.agg(F.min("hit").alias("hit")).select(F.lit("").alias("key"), "hit").join(asked, "key", "left_semi")
+    return hits.unionByName(anything)
+
+
+def attach_citation(checks: DataFrame, entries: DataFrame, order: Sequence[str] = ("entry_id",), fallback: str = "Legal Metrology (Packaged Commodities) Rules, 2011") -> DataFrame:
+    """Citation per check: the first entry (by ``order``) whose rule number or clause holds the check's rule number, else its sub-rule.
+
+    "RULE 6" is found in "Rule 6(1)(a)".  The distinct strings asked for are
+    settled first (:func:`first_containing`); a check then meets one row.  A
+    null string finds nothing.
+    """
+    known = entries.select(*dict.fromkeys([*order, "entry_id", "source", "rule_number", "sub_rule_or_clause"]))
+    asked = checks.select(F.explode(F.array("rule_no", "sub_rule")).alias("wanted")).distinct()
+    found = first_containing(asked, known, ["rule_number", "sub_rule_or_clause"], order)
+    rest = lambda f: F.col(f"hit.{f}") if f in order else F.col(f"hit._rest.{f}")
+    found = found.select("key", F.struct(rest("entry_id").alias("entry_id"), rest("source").alias("source")).alias("hit"))
+    by_rule, by_sub = found.select(F.col("key").alias("k1"), F.col("hit").alias("h1")), found.select(F.col("key").alias("k2"), F.col("hit").alias("h2"))
+    joined = checks.join(by_rule, F.lower(F.trim("rule_no")) == F.col("k1"), "left").join(by_sub, F.lower(F.trim("sub_rule")) == F.col("k2"), "left")
+    hit = F.coalesce("h1", "h2")
     return joined.select(*checks.columns, hit["entry_id"].alias("citation_id"), F.coalesce(hit["source"], F.lit(fallback)).alias("citation_source"))
