@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallymark.plans import sqltext as q
 from tallymark.plans.registry import query, table
+from tallymark.session import checkpoint_dir
 from tallymark.streaming import sessions as st
+from tallymark.streaming import stateful as sf
 
 
 def events(spark, d):
@@ -65,3 +69,41 @@ def live_kpis(spark, d):
     s = F.col("o_orderstatus")
     o = table(spark, d, "orders").select(F.when(s == "F", "COMPLIANT").when(s == "O", "NON_COMPLIANT").otherwise("NEEDS_REVIEW").alias("overall_status"), F.when(s == "O", 1).otherwise(0).alias("violation_count"))
     return st.live_kpis(o)
+
+
+def _streamed(spark, d, shape, make, mode):
+    """Run a stream over the events to their end and read what it wrote; files and checkpoint lie in the shared folder.
+
+    The path is a pattern, which a stream takes whether the table is a file or a folder.
+    """
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    st.run_available(make(shape(source.withColumn("ts", F.col("ts").cast("timestamp")))), write, f"{folder}/state", mode)
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+@query("late_panel_sessions", "ST1", """
+with p as (select cast(user_id as varchar) as session_id, cast(event_id as varchar) as image_id, ts, case event_type when 'click' then 'FRONT' else upper(event_type) end as panel from events)
+select session_id, count(*) as panels, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_seen, arg_min(panel, strftime(ts, '%Y%m%d%H%M%S.%f') || image_id) as first_panel,
+  arg_max(panel, strftime(ts, '%Y%m%d%H%M%S.%f') || image_id) as last_panel, count(*) filter (panel = 'FRONT') as front_panels from p group by 1""")
+def late_panel_sessions(spark, d):
+    shape = lambda e: e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("image_id"), "ts", F.when(F.col("event_type") == "click", "FRONT").otherwise(F.upper("event_type")).alias("panel"))
+    versions = _streamed(spark, d, shape, sf.late_panels, "update")
+    last = versions.groupBy("session_id").agg(F.max_by(F.struct(*[c for c in versions.columns if c not in ("session_id", "version", "status")]), F.col("version")).alias("s")).select("session_id", "s.*")
+    for c in ("first_seen", "last_seen"):
+        last = last.withColumn(c, F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+    return last
+
+
+@query("streamed_transitions", "ST2", f"""
+with s as (select *, ({q.array(st.STATES)})[1 + event_id % 15] as state from events), p as (select *, coalesce(lag(state) over (partition by user_id order by ts, event_id), 'CREATED') as from_state from s)
+select cast(user_id as varchar) as scan_id, event_id, from_state, state, from_state = state or list_contains({_LEGAL}, from_state || '>' || state) as legal from p where epoch_ms(ts) < (select epoch_ms(max(ts)) - 60000 from events)""")
+def streamed_transitions(spark, d):
+    """The changes that the watermark, one minute behind the last event, has passed."""
+    states = F.array(*[F.lit(s) for s in st.STATES])
+    shape = lambda e: e.select(F.col("user_id").alias("scan_id"), "event_id", "ts", F.element_at(states, (1 + F.col("event_id") % 15).cast("int")).alias("state"))
+    return _streamed(spark, d, shape, lambda e: sf.stage_changes(e, "1 minute"), "append").select("scan_id", "event_id", "from_state", "state", "legal")
