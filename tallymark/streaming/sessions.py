@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallymark.operators import analytics as an
 from tallymark.operators import carry
+from tallymark.sources.dockets import latest_per_id
 
 # fixed values: states of a scan and the legal moves between them
 STATES = (
@@ -87,24 +89,50 @@ def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     return query
 
 
-def upsert_sink(path: str, key: str, seq: str) -> Callable[[DataFrame, int], None]:
-    """Latest-wins docket table as one folder per batch.
-
-    A batch writes its own folder, so a retry overwrites exactly what it wrote
-    before; :func:`read_upserts` resolves the versions.
+def _held(spark: SparkSession, path: str, before: int | None = None) -> list[str]:
+    """Folders of the table as of the last version (before batch ``before``)."""
+    try:
+        versions = spark.read.parquet(f"{path}/manifest")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    if before is not None:
+        versions = versions.filter(F.col("version") < before)
+    last = versions.agg(F.max_by("folders", "version")).first()[0]  # one row for each version
+    return list(last or [])
+
+
+def upsert_sink(path: str, key: str, seq: str, most: int = 8) -> Callable[[DataFrame, int], None]:
+    """Latest-wins docket table as folders that a manifest names.
+
+    A batch writes a folder of level 0; as soon as a level has more than
+    ``most`` folders they are merged into one of the next, so a row is rewritten
+    once for each level and a reader opens few folders, however many batches
+    came.  Every batch then writes its own version of the manifest.  A retry
+    starts from the version before it and overwrites exactly what it wrote.
     """
-    from tallymark.sources.dockets import latest_per_id
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_per_id(batch, key, F.col(seq)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+
+        def put(df: DataFrame, level: int) -> str:
+            folder = f"level{level}-{batch_id}"
+            latest_per_id(df, key, F.col(seq)).write.mode("overwrite").parquet(f"{path}/data/{folder}")
+            return folder
+
+        held, level = [*_held(spark, path, batch_id), put(batch, 0)], 0
+        while len(full := [f for f in held if f.startswith(f"level{level}-")]) > most:
+            merged = put(spark.read.parquet(*[f"{path}/data/{f}" for f in full]), level + 1)
+            held, level = [f for f in held if f not in full] + [merged], level + 1
+        spark.createDataFrame([(held,)], "folders array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={batch_id}")
 
     return write
 
 
 def read_upserts(spark: SparkSession, path: str, key: str, seq: str) -> DataFrame:
-    from tallymark.sources.dockets import latest_per_id
-
-    return latest_per_id(spark.read.parquet(path).drop("batch"), key, F.col(seq))
+    """The table as of the last whole version: a reader never sees half a batch or half a merge."""
+    return latest_per_id(spark.read.parquet(*[f"{path}/data/{f}" for f in _held(spark, path)]), key, F.col(seq))
 
 
 def rerun_guard(requests: DataFrame, finished: DataFrame, scan: str = "scan_id") -> DataFrame:

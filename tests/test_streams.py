@@ -21,6 +21,21 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
     assert key(got) == key(want)
 
 
+def test_upserts_are_merged_by_levels_and_survive_a_retry(spark, tmp_path):
+    path, rows = str(tmp_path / "t"), []
+    sink = st.upsert_sink(path, "id", "seq", most=2)
+    for batch in range(9):
+        new = [(k, batch * 10 + k % 3, f"b{batch}") for k in range(batch % 4, 6)]
+        rows += new
+        for _ in range(1 + (batch == 5)):
+            sink(spark.createDataFrame(new, "id int, seq int, v string"), batch)
+    want = {k: max((s, v) for i, s, v in rows if i == k) for k in range(6)}
+    assert {r["id"]: (r["seq"], r["v"]) for r in st.read_upserts(spark, path, "id", "seq").collect()} == want
+    held = st._held(spark, path)
+    assert held == ["level2-8"] or (len(held) <= 6 and any(f.startswith("level1-") for f in held))
+    assert st._held(spark, path, 3) == ["level1-2"]
+
+
 def test_session_state_ignores_arrival_order(spark, tmp_path):
     e = spark.read.parquet(EVENTS).selectExpr("user_id as session_id", "event_id as image_id", "cast(ts as timestamp) as ts", "upper(event_type) as panel")
     e.repartition(3, "image_id").write.parquet(str(tmp_path / "in"))
