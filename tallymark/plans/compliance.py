@@ -226,14 +226,14 @@ def derived_rules(spark, d):
 
 
 DEDUP_SQL = """with v as (select 'P' || cast(l_partkey as varchar) as product_id, case l_linenumber % 3 when 0 then 'RULE_06_MRP' when 1 then 'RULE_06_NET_QUANTITY' else 'RULE_06_DATE' end as rule_id,
-  l_shipdate, l_orderkey, l_linenumber, 0.5 + l_discount as confidence from lineitem where l_returnflag = 'R'),
+  l_shipdate, l_orderkey, l_linenumber, 0.5 + l_discount as confidence from lineitem),
 f as (select *, substr(sha256(product_id || ':' || rule_id || ':' || rule_id || ':missing_declaration'), 1, 32) as fingerprint from v)
 """
 
 
 def _reports(spark, d):
     rule = F.when(F.col("l_linenumber") % 3 == 0, "RULE_06_MRP").when(F.col("l_linenumber") % 3 == 1, "RULE_06_NET_QUANTITY").otherwise("RULE_06_DATE")
-    li = table(spark, d, "lineitem").filter("l_returnflag = 'R'")
+    li = table(spark, d, "lineitem")
     v = li.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("product_id"), rule.alias("rule_id"), "l_orderkey", "l_linenumber",
                   (F.lit(0.5) + F.col("l_discount")).alias("confidence"))
     return v.withColumn("fingerprint", vi.fingerprint(F.col("product_id"), F.col("rule_id"), F.col("rule_id"), F.lit(" Missing_Declaration ")))
@@ -254,13 +254,13 @@ def violation_evidence(spark, d):
 
 
 @query("officer_decisions", "V7", """
-with v as (select l_orderkey as case_id, l_orderkey * 10 + l_linenumber as violation_id, l_partkey, l_linenumber from lineitem where l_returnflag = 'R'),
+with v as (select l_orderkey as case_id, l_orderkey * 10 + l_linenumber as violation_id, l_partkey, l_linenumber from lineitem),
 d as (select o_orderkey * 10 + (o_orderkey % 7) + 1 as violation_id, arg_max(case when o_orderstatus = 'F' then 'Dismissed' else 'Accepted' end, o_orderkey) as s from orders group by 1)
 select case_id, count(*) as violations, count(*) filter (coalesce(s, 'Needs Review') <> 'Dismissed') as active_violations,
   case when count(*) filter (coalesce(s, 'Needs Review') <> 'Dismissed') > 0 then 'Non-Compliant' else 'Compliant' end as status
 from v left join d using (violation_id) group by 1""")
 def officer_decisions(spark, d):
-    v = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("case_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("violation_id"))
+    v = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("violation_id"))
     dec = table(spark, d, "orders").select((F.col("o_orderkey") * 10 + F.col("o_orderkey") % 7 + 1).alias("violation_id"),
                                            F.when(F.col("o_orderstatus") == "F", "Dismissed").otherwise("Accepted").alias("officer_status"),
                                            F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("seq"))

@@ -219,10 +219,11 @@ def docket_lookup(spark, d):
 
 
 @query("docket_json_read", "S5 P11", """
-select cast(o_orderkey as varchar) as id, case when o_orderkey % 5 = 0 then 'Packaged Commodity' else 'Product ' || cast(o_orderkey % 97 as varchar) end as product_name,
-  case when o_orderkey % 4 = 0 then 'COMPLIANT' else o_orderstatus end as overall_status,
+select case when o_orderkey % 10 <> 9 then cast(o_orderkey as varchar) end as id,
+  case when o_orderkey % 5 = 0 or o_orderkey % 10 = 9 then 'Packaged Commodity' else 'Product ' || cast(o_orderkey % 97 as varchar) end as product_name,
+  case when o_orderkey % 4 = 0 or o_orderkey % 10 = 9 then 'COMPLIANT' else o_orderstatus end as overall_status,
   case when o_orderkey % 2 = 0 then cast(o_orderkey % 101 as bigint) else 100 end as compliance_score
-from orders where o_orderkey % 10 <> 9""")
+from orders""")
 def docket_json_read(spark, d):
     o = table(spark, d, "orders")
     body = F.to_json(F.struct(
@@ -232,7 +233,7 @@ def docket_json_read(spark, d):
         F.when(F.col("o_orderkey") % 2 == 0, (F.col("o_orderkey") % 101).cast("int")).alias("compliance_score")))
     raw = o.select(F.when(F.col("o_orderkey") % 10 == 9, F.lit("{broken")).otherwise(body).alias("docket_json"))
     rows = store.docket_row(store.parse_dockets(raw))
-    return rows.filter(F.col("id").isNotNull()).select("id", "product_name", "overall_status", F.col("compliance_score").cast("bigint").alias("compliance_score"))
+    return rows.select("id", "product_name", "overall_status", F.col("compliance_score").cast("bigint").alias("compliance_score"))
 
 
 @query("inspection_records", "S13 S12", """

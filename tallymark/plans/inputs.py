@@ -48,7 +48,7 @@ def dockets(spark: SparkSession, data_dir: str, parties: bool = False, counts: b
     df = table(spark, data_dir, "orders")
     columns = dict(DOCKET_CORE)
     if counts:
-        per_case = (table(spark, data_dir, "lineitem").filter("l_returnflag = 'R'")
+        per_case = (table(spark, data_dir, "lineitem")
                     .groupBy("l_orderkey").count().withColumnRenamed("count", "vc"))
         df = df.join(per_case, df.o_orderkey == per_case.l_orderkey, "left")
         columns |= DOCKET_COUNT
@@ -61,7 +61,7 @@ def dockets(spark: SparkSession, data_dir: str, parties: bool = False, counts: b
 
 
 def violations(spark: SparkSession, data_dir: str) -> DataFrame:
-    return table(spark, data_dir, "lineitem").filter("l_returnflag = 'R'").selectExpr(*_select(VIOLATION))
+    return table(spark, data_dir, "lineitem").selectExpr(*_select(VIOLATION))
 
 
 def _sql_list(columns: dict[str, str]) -> str:
@@ -71,8 +71,8 @@ def _sql_list(columns: dict[str, str]) -> str:
 WITH_DOCKETS = f"""with dockets as (
   select {_sql_list({**DOCKET_CORE, **DOCKET_COUNT, **DOCKET_PARTY})}
   from orders
-  left join (select l_orderkey, count(*) as vc from lineitem where l_returnflag = 'R' group by l_orderkey) q on q.l_orderkey = o_orderkey
+  left join (select l_orderkey, count(*) as vc from lineitem group by l_orderkey) q on q.l_orderkey = o_orderkey
   join customer on o_custkey = c_custkey
   join nation on c_nationkey = n_nationkey),
-violations as (select {_sql_list(VIOLATION)} from lineitem where l_returnflag = 'R')
+violations as (select {_sql_list(VIOLATION)} from lineitem)
 """

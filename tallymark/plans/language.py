@@ -12,6 +12,7 @@ from tallymark.operators import classify as cl
 from tallymark.operators import filters as fl
 from tallymark.plans import sqltext as q
 from tallymark.plans.labels import SQL_LABELS, SQL_TEXTS, WITH_LABEL_LINES, WITH_TEXT_LINES, labels, sql_lines, texts
+from tallymark.operators import vocabulary as vo
 from tallymark.plans.registry import query, table
 from tallymark.sources import notices as no
 from tallymark.sources import transcripts as tr
@@ -263,6 +264,35 @@ def gated_categories(spark, d):
     return cl.gated_category(texts(spark, d), "text", VOCABULARY).select("doc_id", "gate.*")
 
 
+# Words of parts, and countries of regions, as a vocabulary; the words of a part also tell its brand.
+_VOCABULARY = """select p_type as category, 'keyword' as kind, null as subcategory, p_name as phrase from part where p_partkey % 3 = 0
+union all select p_type, 'keyword', null, split_part(p_name, ' ', 1) from part where p_partkey % 7 = 0
+union all select r_name, 'keyword', null, n_name from nation join region on n_regionkey = r_regionkey
+union all select 'PARTIES', 'keyword', null, p from (values ('mfd by'), ('pvt ltd'), ('net'), ('a')) as v(p)
+union all select p_type, 'sub', p_brand, split_part(p_name, ' ', 2) from part where p_partkey % 5 = 0"""
+
+
+@query("vocabulary_categories", "C7 C6 N10", f"""
+with {SQL_TEXTS}, {TEXT_LOW}, voc as ({_VOCABULARY}), kw as (select distinct category, lower(phrase) as phrase from voc where kind = 'keyword'),
+ph as (select distinct phrase from kw), h as (select doc_id, phrase, len(regexp_extract_all(low, '\\b' || phrase || '\\b')) as hits from text_low, ph where contains(low, phrase)),
+pts as (select doc_id, category, least(40, hits * case when length(kw.phrase) > 3 then 15 else 8 end) as points from h join kw on kw.phrase = h.phrase where hits > 0
+  union all select doc_id, 'IMPORTED_PRODUCT', 30 from text_src where {q.any_contains('lower(text)', vo.IMPORT_WORDS)}),
+sc as (select doc_id, category, least(99, sum(points)) as score from pts group by 1, 2 having sum(points) >= 15),
+rk as (select *, row_number() over (partition by doc_id order by score desc, category) as r from sc),
+t as (select doc_id, max(category) filter (r = 1) as k1, max(score) filter (r = 1) as c1, max(category) filter (r = 2) as k2, max(score) filter (r = 2) as c2 from rk group by 1),
+sub as (select t.doc_id, min(voc.subcategory) as s from t join text_src x on x.doc_id = t.doc_id join voc on voc.kind = 'sub' and voc.category = t.k1 where contains(lower(x.text), lower(voc.phrase)) group by 1),
+g as (select x.doc_id, k1, k2, s, coalesce(c1, 0) as c1, coalesce(c1 - c2 < 12 and c1 < 70, false) as close from text_src x left join t using (doc_id) left join sub using (doc_id))
+select doc_id, case when close or c1 < 35 then 'UNKNOWN' else k1 end as category, case when close or c1 >= 35 then s end as subcategory, c1::double / 100 as confidence,
+  case when not close and c1 >= 55 then 'CONFIRMED' else 'NEEDS_REVIEW' end as status, k2 as runner_up from g""")
+def vocabulary_categories(spark, d):
+    for name in ("part", "nation", "region"):
+        table(spark, d, name).createOrReplaceTempView(f"_vocabulary_{name}")
+    sql = _VOCABULARY
+    for name in ("part", "nation", "region"):
+        sql = sql.replace(f"from {name}", f"from _vocabulary_{name} {name}").replace(f"join {name}", f"join _vocabulary_{name} {name}")
+    return vo.vocabulary_categories(texts(spark, d), spark.sql(sql), "doc_id")
+
+
 _TYPES = "case " + " ".join(f"when {q.m('low', p)} then '{n}'" for n, _, p in cl.PRODUCT_TYPES)
 _SPOILS = "case " + " ".join(f"when {q.m('low', p)} then {str(s).lower()}" for _, s, p in cl.PRODUCT_TYPES) + " else false end"
 
@@ -378,12 +408,12 @@ def knowledge_entries(spark, d):
 
 @query("knowledge_search", "P7 S4", f"""
 with {SQL_KB}, a as (select doc_id, source, 0 as paragraph, text as t, coalesce('Rule ' || {q.g('text', '[Rr]ule' + chr(92) + 's*([0-9]{1,2})')}, 'Legal Metrology Advisory / Guidelines') as rule_number,
- coalesce(nullif({_TAGS.replace('(t,', '(text,')}, ''), 'General Packaged Commodities') as product_category from documents where lang <> 'en')
+ coalesce(nullif({_TAGS.replace('(t,', '(text,')}, ''), 'General Packaged Commodities') as product_category from documents)
 select product_category, count(*) as n from (select product_category, rule_number, t, sub_rule_or_clause from kb where relevant union all select product_category, rule_number, t, 'Advisory / Direction / SOP' from a)
 where contains(lower(rule_number || ' ' || sub_rule_or_clause || ' ' || t || ' ' || product_category), 'license') group by 1""")
 def knowledge_search(spark, d):
     docs = table(spark, d, "documents")
-    merged = no.merge_knowledge(no.knowledge_entries(docs, ["doc_id"]), no.advisory_entries(docs.filter("lang <> 'en'"), ["doc_id"]))
+    merged = no.merge_knowledge(no.knowledge_entries(docs, ["doc_id"]), no.advisory_entries(docs, ["doc_id"]))
     return no.search_text(merged, " License ").groupBy("product_category").agg(F.count(F.lit(1)).alias("n"))
 
 
