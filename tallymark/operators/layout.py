@@ -26,6 +26,7 @@ COLUMN_GAP = 45.0
 COLUMN_GAP_HEIGHTS = 3.5
 BLOCK_GAP_HEIGHTS = 1.6
 BLOCK_OVERLAP = 0.2
+BLOCK_GAP_PERCENT = 5.0
 SECTION_GAP = 200.0
 SEGMENT_HEIGHT = 100.0
 LARGE, SMALL = 1.5, 0.7
@@ -142,6 +143,23 @@ def lines_to_blocks(lines: DataFrame, tie: str = "id") -> DataFrame:
     return carry.running_sum_across(s, ["image_id"], "segment", order, start.cast("int"), "block_no").select(*lines.columns, "block_no")
 
 
+def lines_to_blocks_percent(lines: DataFrame, max_gap: float = BLOCK_GAP_PERCENT) -> DataFrame:
+    """Add ``block_no`` to lines whose boxes are in per cent of the image.
+
+    Lines follow by bands of 3 % and x, lines without a box (null y) by their
+    number among them.  A block goes on where a line begins 0 to 5 % below the
+    one before it, or, where one of the two has no box, has the next number.
+    """
+    first = F.coalesce(F.bround(F.col("y") / PERCENT_BAND) * PERCENT_BAND, F.col("line_index").cast("double"))
+    s = lines.withColumn("_band", first).withColumn("_x", F.when(F.col("y").isNull(), 0.0).otherwise(F.col("x"))).withColumn("segment", F.floor(F.col("_band") / SEGMENT_HEIGHT))
+    order = ["_band", "_x", "line_index"]
+    s = carry.lag_across(s, ["image_id"], "segment", order, ["y", "h", "line_index"])
+    gap = F.col("y") - (F.col("prev_y") + F.col("prev_h"))
+    joined = F.when(F.col("y").isNotNull() & F.col("prev_y").isNotNull(), gap.between(0, max_gap)).otherwise(F.col("line_index") == F.col("prev_line_index") + 1)
+    start = ~F.coalesce(joined, F.lit(False))
+    return carry.running_sum_across(s, ["image_id"], "segment", order, start.cast("int"), "block_no").select(*lines.columns, "block_no")
+
+
 def header_of(text: Column) -> Column:
     out = None
     for name, pattern in lx.SECTION_HEADERS.items():

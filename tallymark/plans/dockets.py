@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallymark.operators import analytics as an
 from tallymark.operators import filters as fl
 from tallymark.plans.inputs import WITH_DOCKETS, dockets, violations
 from tallymark.plans.registry import query, table
+from tallymark.session import checkpoint_dir
 from tallymark.sources import dockets as store
 
 DAY = "yyyy-MM-dd"
@@ -146,6 +149,19 @@ def transcript_search(spark, d):
     return fl.search_dockets(docs, "LICENSE", ("text", "source")).select("doc_id", "lang", "source")
 
 
+@query("search_index", "S9 P1", """
+select o_orderkey as scan_id, o_orderstatus as overall_status, o_clerk as manufacturer from (select *, 'Clerk ' || cast(o_custkey % 40 as varchar) as o_clerk from orders) where contains(lower(o_clerk), 'clerk 3')""")
+def search_index(spark, d):
+    """Scans are appended in two writes to an index in the shared folder, which is then searched."""
+    rows = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("scan_id"), F.lit("Product").alias("product_name"), F.concat(F.lit("Clerk "), (F.col("o_custkey") % 40).cast("string")).alias("manufacturer"), F.lit("").alias("ocr_text"),
+        F.col("o_orderstatus").alias("overall_status"), F.lit(100).alias("compliance_score"), F.col("o_orderdate").cast("string").alias("ts"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/search-{uuid.uuid4().hex}"
+    for late in (False, True):
+        store.append_search_rows(rows.filter((F.col("o_orderstatus") == "P") == late), path)
+    return fl.search_dockets(spark.read.parquet(path), "CLERK 3", ("manufacturer", "product_name")).select("scan_id", "overall_status", "manufacturer")
+
+
 @query("docket_page", "A11", WITH_DOCKETS + """
 select id, product_name, status, strftime(created_at, '%Y-%m-%d') as created_on from dockets order by created_at desc, ord limit 50 offset 100""")
 def docket_page(spark, d):

@@ -67,6 +67,19 @@ def lines_to_blocks(spark, d):
     return ly.lines_to_blocks(boxes(spark, d)).select("id", "image_id", "block_no")
 
 
+@query("percent_blocks", "W3", f"""
+with {SQL_BOX}, n as (select image_id, row_number() over (partition by image_id order by y, x, id) as line_index, case when id % 6 <> 0 then y / 5 end as y, x, h / 10 as h from box),
+k as (select *, coalesce(round_even(y / 3, 0) * 3, line_index::double) as band, case when y is null then 0 else x end as xx from n),
+p as (select *, lag(y) over w as py, lag(h) over w as ph, lag(line_index) over w as pl from k window w as (partition by image_id order by band, xx, line_index))
+select image_id, line_index, sum(case when case when y is not null and py is not null then y - (py + ph) between 0 and 5 else coalesce(line_index = pl + 1, false) end then 0 else 1 end)
+  over (partition by image_id order by band, xx, line_index rows unbounded preceding)::bigint as block_no from p""")
+def percent_blocks(spark, d):
+    """Boxes of every sixth line item are taken away, so that both rules are used."""
+    b = ly.carry.row_number_across(ly.segmented(boxes(spark, d)), ["image_id"], "segment", ["y", "x", "id"], "line_index")
+    lines = b.select("image_id", "line_index", F.when(F.col("id") % 6 != 0, F.col("y") / 5).alias("y"), "x", (F.col("h") / 10).alias("h"))
+    return ly.lines_to_blocks_percent(lines).select("image_id", "line_index", "block_no")
+
+
 def _header_sql(col: str) -> str:
     return "case " + " ".join(f"when {q.m(col, p)} then '{n}'" for n, p in lx.SECTION_HEADERS.items()) + " end"
 

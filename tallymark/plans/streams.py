@@ -56,6 +56,15 @@ def open_requests(spark, d):
     return r.groupBy("user_id").agg(F.count(F.lit(1)).alias("requests"))
 
 
+@query("distinct_requests", "ST4", """
+select 'F' || substr(sha256(cast(user_id as varchar) || ':' || lower(event_type) || ':' || cast(event_id % 50 as varchar)), 1, 32) as mark, user_id, lower(event_type) as kind, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_seen
+from events group by user_id, lower(event_type), event_id % 50""")
+def distinct_requests(spark, d):
+    e = events(spark, d).select("user_id", F.lower("event_type").alias("kind"), (F.col("event_id") % 50).alias("part"), "ts")
+    once = st.distinct_requests(e, ["user_id", "kind", "part"])
+    return once.select(F.concat(F.lit("F"), "fingerprint").alias("mark"), "user_id", "kind", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
+
+
 @query("daily_event_counts", "ST5", "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as events, round(sum(value), 3) as total from events group by 1, 2")
 def daily_event_counts(spark, d):
     w = st.windowed_counts(events(spark, d), "ts", "event_type")

@@ -138,3 +138,13 @@ def read_upserts(spark: SparkSession, path: str, key: str, seq: str) -> DataFram
 def rerun_guard(requests: DataFrame, finished: DataFrame, scan: str = "scan_id") -> DataFrame:
     """Scans that still have to run: a finished scan is not computed again."""
     return requests.join(finished.select(scan).distinct(), scan, "left_anti")
+
+
+def distinct_requests(requests: DataFrame, keys: list[str], delay: str = "1 day", ts: str = "ts") -> DataFrame:
+    """Requests with the fingerprint of ``keys``, each fingerprint once: the first of a stream within the watermark, the earliest of a batch."""
+    text = F.concat_ws(":", *[F.lower(F.trim(F.coalesce(F.col(k).cast("string"), F.lit("")))) for k in keys])
+    marked = requests.withColumn("fingerprint", F.substring(F.sha2(text, 256), 1, 32))
+    if marked.isStreaming:
+        return distinct_events(marked, delay, "fingerprint", ts)
+    row = F.struct(*[F.col(c) for c in marked.columns if c != "fingerprint"])
+    return marked.groupBy("fingerprint").agg(F.min_by(row, F.struct(ts, *keys)).alias("r")).select("r.*", "fingerprint")
