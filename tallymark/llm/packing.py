@@ -17,6 +17,7 @@ a distinct word once and remembers a bounded number of them.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallymark.llm.words import LOWER, Chunk, chunks
+from tallymark.llm.words import LOWER, Chunk, chunks, hashes
 from tallymark.session import checkpoint_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -36,18 +37,41 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LONGEST = 2048
 END = 1
 #: Words that a worker remembers, slots for them, words looked up and words encoded at once.
-REMEMBERED, SLOTS, AT_ONCE, GROUP = 700_000, 1 << 21, 300_000, 256
+REMEMBERED, SLOTS, AT_ONCE, GROUP = 700_000, 1 << 21, 300_000, 64
 #: First bytes of the marks U+0300 to U+036F, which can join the letter before them.
 MARKS = (b"\xcc", b"\xcd")
+#: The mark of a token that ends a word, words of letters alone, and bytes that may be parted from a word.
+WORD_END = "</w>"
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+STOP = np.isin(np.arange(256), list(b".,;:!?"))
+ALNUM = np.array([chr(b).isalnum() and b < 0x80 for b in range(256)])
 #: 24 bytes each.
 BROADCAST_ROWS = 500_000
 
 
+def _part_stops(chunk: Chunk) -> None:
+    """Make a stop that ends a word of its own, where a letter or digit stands before it: the tokenizer parts them too."""
+    buffer, starts, ends = chunk.buffer, chunk.starts, chunk.ends
+    before, lead = buffer[np.maximum(ends - 2, 0)], buffer[np.maximum(ends - 3, 0)]
+    letter = ALNUM[before] | ((ends - starts > 2) & (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))
+    parted = (ends - starts > 1) & STOP[buffer[np.maximum(ends - 1, 0)]] & letter
+    at = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(parted)[:-1]]) if len(starts) else np.empty(0, dtype=np.int64)
+    all_starts, all_ends = np.empty(len(starts) + int(parted.sum()), dtype=np.int64), np.empty(len(starts) + int(parted.sum()), dtype=np.int64)
+    all_starts[at], all_ends[at] = starts, ends - parted
+    all_starts[at[parted] + 1], all_ends[at[parted] + 1] = ends[parted] - 1, ends[parted]
+    chunk.starts, chunk.ends = all_starts, all_ends
+    chunk.first = np.searchsorted(all_starts, chunk.offsets)
+    chunk.hash = hashes(buffer, all_starts, all_ends)
+
+
 class Encoder:
     """Token ids of whole texts.  Words are known by their 64-bit hashes, in an open table of bounded size."""
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[number for token, number in vocabulary.items() if token.endswith(WORD_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -68,27 +92,50 @@ class Encoder:
             left, slot = left[further], (slot[further] + 1) % SLOTS
         return out
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        """Words of a group are encoded as one text; a token belongs to the word that its offset lies in."""
-        for low in range(0, len(words), GROUP):
-            group = words[low : low + GROUP]
+    def _keep(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = slice(self.known, self.known + len(lengths))
+        self.lengths[at] = lengths
+        self.starts[at] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.known += len(lengths)
+
+    def _insert(self, values: np.ndarray, places: np.ndarray) -> None:
+        """Put distinct hashes into the table; of those that want one free slot, one gets it."""
+        slot = (values & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(values):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.places[slot[first]] < 0]
+            self.keys[slot[first]], self.places[slot[first]] = values[first], places[first]
+            left = np.ones(len(values), dtype=bool)
+            left[first] = False
+            values, places, slot = values[left], places[left], (slot[left] + 1) % SLOTS
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Words of a group are encoded as one text.
+
+        A word of letters alone has one token that ends a word, its last; a token
+        of any other word belongs to the word that its offset lies in.
+        """
+        simple = np.fromiter((LETTERS.fullmatch(w) is not None for w in words), dtype=bool, count=len(words))
+        order, first = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)]), self.known
+        plain, other = [w for w, yes in zip(words, simple.tolist()) if yes], [w for w, yes in zip(words, simple.tolist()) if not yes]
+        for low in range(0, len(plain), GROUP):
+            group = plain[low : low + GROUP]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) != len(group):
+                raise ValueError("a word of letters is more than one word to this tokenizer")
+            self._keep(ids, np.diff(ends, prepend=-1))
+        for low in range(0, len(other), GROUP):
+            group = other[low : low + GROUP]
             coded = self.tokenizer.encode_batch([" ".join(group)], add_special_tokens=False)[0]
             begins = np.cumsum([0] + [len(w) + 1 for w in group[:-1]])
             offsets = np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            lengths = np.bincount(np.searchsorted(begins, offsets, side="right") - 1, minlength=len(group))
-            while self.used + len(coded.ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            self.flat[self.used : self.used + len(coded.ids)] = coded.ids
-            at = slice(self.known, self.known + len(group))
-            self.lengths[at] = lengths
-            self.starts[at] = self.used + np.cumsum(lengths) - lengths
-            self.used += len(coded.ids)
-            for place, value in enumerate(hashes[low : low + GROUP], start=self.known):
-                slot = value % SLOTS
-                while self.places[slot] >= 0:
-                    slot = (slot + 1) % SLOTS
-                self.keys[slot], self.places[slot] = value, place
-            self.known += len(group)
+            self._keep(np.array(coded.ids, dtype=np.int64), np.bincount(np.searchsorted(begins, offsets, side="right") - 1, minlength=len(group)))
+        self._insert(hashes[order], np.arange(first, self.known, dtype=np.int32))
 
     def _places(self, chunk: Chunk, words: slice) -> np.ndarray:
         hashes, place = chunk.hash[words], self._find(chunk.hash[words])
@@ -100,12 +147,13 @@ class Encoder:
             new = np.arange(len(hashes))
         values, first = np.unique(hashes[new], return_index=True)
         at = new[first] + words.start
-        self._learn(values.tolist(), [chunk.joined[s:e].decode() for s, e in zip(chunk.starts[at].tolist(), chunk.ends[at].tolist())])
+        self._learn(values, [chunk.joined[s:e].decode() for s, e in zip(chunk.starts[at].tolist(), chunk.ends[at].tolist())])
         return self._find(hashes)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text.  The tokenizer lower-cases and ignores white space, so words can be lower-cased here unless a mark may join a letter."""
-        chunk = Chunk(texts, table=None if any(m in t for t in texts for m in MARKS) else LOWER)
+        chunk = Chunk(texts, table=None if any(m in t for t in texts for m in MARKS) else LOWER, hashed=False)
+        _part_stops(chunk)
         found, lengths = [np.empty(0, dtype=np.uint16)], [np.zeros(1, dtype=np.int64)]
         for low in range(0, len(chunk.hash), AT_ONCE):
             place = self._places(chunk, slice(low, low + AT_ONCE))

@@ -13,7 +13,8 @@ from tallymark.llm import merkle, packing, queries, spelling
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, tree string, word string, n int, ids string, pos int, size int"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-ODD = ["", None, "Hello, WORLD!! it's 'show 12ab", "J̌ İ İ Å Å 　x\u0085y", "a<|endoftext|>b", "﻿ ​ c\u0000d", "word " * 3_000, "x" * 5_000]
+ODD = ["", None, "Hello, WORLD!! it's 'show 12ab", "J̌ İ İ Å Å 　x\u0085y", "a<|endoftext|>b", "﻿ ​ c\u0000d", "word " * 3_000, "x" * 5_000,
+       "end. é, ü! ×. ÷? É: a.. b.c, 1, x2; ,. . it's, 's. l'é. ﻿. Ǆ, ĳ. ñ̃, ’. «a», don't!", "İ. ß, ÿ"]
 
 
 @pytest.fixture(scope="module")
