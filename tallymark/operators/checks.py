@@ -224,7 +224,11 @@ def client_checks(net: Column, mrp_text: Column, tax_text: Column, maker: Column
 # --- adaptive schema, risk, quality, measurement ---------------------------------------------
 
 # fixed values: core fields of every category
-CORE_FIELDS = ("PRODUCT_NAME", "BRAND", "NET_QUANTITY", "MRP", "MANUFACTURER", "MANUFACTURER_ADDRESS", "MANUFACTURING_DATE", "BATCH_NUMBER", "CONSUMER_CARE", "COUNTRY_OF_ORIGIN")
+CORE_FIELDS = (
+    "PRODUCT_NAME", "BRAND", "PRODUCT_VARIANT", "CATEGORY", "SUBCATEGORY", "MANUFACTURER", "MANUFACTURER_ADDRESS", "PACKER", "PACKER_ADDRESS", "MARKETER", "MARKETER_ADDRESS",
+    "IMPORTER", "IMPORTER_ADDRESS", "DISTRIBUTOR", "DISTRIBUTOR_ADDRESS", "COUNTRY_OF_ORIGIN", "MRP", "NET_QUANTITY", "NET_VOLUME", "BATCH_NUMBER", "LOT_NUMBER", "SERIAL_NUMBER",
+    "MODEL_NUMBER", "SKU", "ARTICLE_NUMBER", "MANUFACTURING_DATE", "PACKING_DATE", "IMPORT_DATE", "EXPIRY_DATE", "USE_BY_DATE", "BEST_BEFORE", "CONSUMER_CARE",
+)
 VISIBLE_FROM = 0.15
 
 

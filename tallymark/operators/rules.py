@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from tallymark.functions import text as tx
 
@@ -27,6 +28,9 @@ NOT_AN_ADDRESS = (
 )
 SEVERITY_ORDER = ("COMPLIANT", "NEEDS_REVIEW", "NON_COMPLIANT", "CONFLICT")
 
+# Keys that rules for all categories are dealt out under.
+SHARES = 64
+
 
 def is_non_address(text: Column) -> Column:
     """Formulation, usage or nutrition text that must not pass as an address."""
@@ -72,12 +76,18 @@ def collect_facts(fields: DataFrame, vocabulary: list[str], key: str = "product_
 def rules_for_products(products: DataFrame, rules: DataFrame, target_date: Column, market: str = "RETAIL") -> DataFrame:
     """Pair every product with the rules that cover its category and date.
 
-    An equi-join on the category key (``ALL`` plus the product's own); Spark
-    broadcasts the rule side when its measured size allows.
+    An equi-join on the category key: the product's own and ``ALL``.  Rules for
+    all stand under 64 keys and a product asks by one of them, so that no key
+    holds half of the rows where the rule side is too large to be sent; Spark
+    broadcasts it when its measured size allows.
     """
     per_category = rules.withColumn("cat", F.explode("categories")).withColumn("cat", F.upper("cat"))
+    shares = F.transform(F.sequence(F.lit(0), F.lit(SHARES - 1)), lambda i: F.concat(F.lit("ALL#"), i.cast("string")))
+    per_category = per_category.withColumn("cat", F.explode(F.when(F.col("cat") == "ALL", shares).otherwise(F.array("cat"))))
     own = F.upper(F.coalesce(F.col("category"), F.lit("UNKNOWN")))
-    keyed = products.withColumn("target_date", target_date).withColumn("cat", F.explode(F.array_distinct(F.array(F.lit("ALL"), own))))
+    plain = [f.name for f in products.schema.fields if isinstance(f.dataType, AtomicType)]
+    share = F.concat(F.lit("ALL#"), F.pmod(F.xxhash64(*plain), F.lit(SHARES)).cast("string"))
+    keyed = products.withColumn("target_date", target_date).withColumn("cat", F.explode(F.array(share, own)))
     valid = (
         (F.col("effective_from").isNull() | (F.col("target_date") >= F.col("effective_from")))
         & (F.col("effective_until").isNull() | (F.col("target_date") <= F.col("effective_until")))

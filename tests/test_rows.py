@@ -145,3 +145,23 @@ def test_citations_are_the_first_entry_that_contains_the_rule(spark):
         hit = first(rule) or first(sub) or (None, "fallback")
         want[i, *hit] += 1
     assert Counter((r["id"], r["citation_id"], r["citation_source"]) for r in got) == want
+
+
+def test_percent_blocks_follow_the_reading_order(spark):
+    rnd = random.Random(4)
+    rows = [("a" if i % 4 else "b", i, None if i % 7 == 0 else round(rnd.uniform(0, 95), 1), rnd.uniform(0, 80), rnd.uniform(1, 4)) for i in range(90)]
+    want = {}
+    for image in ("a", "b"):
+        lines = sorted((r for r in rows if r[0] == image), key=lambda r: (round(r[2] / 3.0) * 3.0, r[3], r[1]) if r[2] is not None else (float(r[1]), 0.0, r[1]))
+        block, before = 0, None
+        for r in lines:
+            if before is None:
+                joined = False
+            elif r[2] is not None and before[2] is not None:
+                joined = 0.0 <= r[2] - (before[2] + before[4]) <= 5.0
+            else:
+                joined = r[1] == before[1] + 1
+            block, before = block + (not joined), r
+            want[r[1]] = block
+    df = spark.createDataFrame(rows, "image_id string, line_index int, y double, x double, h double")
+    assert {r["line_index"]: r["block_no"] for r in ly.lines_to_blocks_percent(df).collect()} == want

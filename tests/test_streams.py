@@ -80,3 +80,13 @@ def test_illegal_skip_is_marked(spark):
     df = spark.createDataFrame(rows, "scan string, o int, state string").withColumn("seg", F.floor(F.col("o") / 2))
     got = {r.o: r.legal for r in st.check_transitions(df, "scan", "seg", ["o"]).collect()}
     assert got == {1: True, 2: False, 3: True, 4: True}
+
+
+def test_requests_of_one_fingerprint_pass_once(spark, tmp_path):
+    e = spark.read.parquet(EVENTS).selectExpr("user_id", "event_type", "cast(ts as timestamp) as ts").orderBy("ts")
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+    seen = []
+    st.run_available(st.distinct_requests(stream, ["user_id", "event_type"], "4000 days"), lambda b, _: seen.extend(r["fingerprint"] for r in b.collect()), str(tmp_path / "cp"))
+    batch = [r["fingerprint"] for r in st.distinct_requests(e, ["user_id", "event_type"]).collect()]
+    assert sorted(seen) == sorted(batch) and len(set(batch)) == e.select("user_id", "event_type").distinct().count()
