@@ -146,17 +146,17 @@ def entity_links(entities: DataFrame, product: str = "product_id", ord_col: str
     """
     e = entities.filter(F.col("name").isNotNull() & (F.col("name") != "NOT_VISIBLE"))
     party = F.struct(F.col(ord_col).alias("ord"), "image_id", "name", "address", "confidence", "role")
-    e = e.select(product, F.upper("role").alias("_role"), F.lower(F.trim("name")).alias("_name"), "image_id", party.alias("party"))
-
-    def chain(key: str) -> DataFrame:
-        shown = e.groupBy(product, key, "image_id").agg(F.min("party").alias("first")).withColumn("at", F.col("first.ord")).withColumn("_seg", F.floor(F.col("at") / segment_size))
-        before = carry.lag_across(shown, [product, key], "_seg", ["at"], ["image_id", "first"], prefix="p_").filter("p_image_id is not null")
-        here = [product, key, "image_id"]
-        back = e.join(before.select(*here, F.col("p_first").alias("a")), here).select(product, "a", F.col("party").alias("b"))
-        forth = e.join(before.select(product, key, F.col("p_image_id").alias("image_id"), F.col("first").alias("b")), here).select(product, F.col("party").alias("a"), "b")
-        return back.unionByName(forth)
-
-    both = chain("_role").unionByName(chain("_name")).dropDuplicates([product, "a", "b"])
+    keys = F.array(F.concat(F.lit("r:"), F.upper("role")), F.concat(F.lit("n:"), F.lower(F.trim("name"))))
+    e = e.select(product, F.explode(F.array_compact(keys)).alias("_key"), "image_id", party.alias("party"))
+    # Roles and names in one pass: the chains differ in their key only.
+    shown = e.groupBy(product, "_key", "image_id").agg(F.min("party").alias("first")).withColumn("at", F.col("first.ord")).withColumn("_seg", F.floor(F.col("at") / segment_size))
+    before = carry.lag_across(shown, [product, "_key"], "_seg", ["at"], ["image_id", "first"], prefix="p_").filter("p_image_id is not null")
+    # Both ends of a step look for the parties of an image: one join finds them.
+    ends = before.select(product, "_key", F.explode(F.array(
+        F.struct(F.col("image_id"), F.col("p_first").alias("other"), F.lit(False).alias("later")),
+        F.struct(F.col("p_image_id").alias("image_id"), F.col("first").alias("other"), F.lit(True).alias("later")))).alias("s")).select(product, "_key", "s.*")
+    met = e.join(ends, [product, "_key", "image_id"])
+    both = met.select(product, F.when(F.col("later"), F.col("party")).otherwise(F.col("other")).alias("a"), F.when(F.col("later"), F.col("other")).otherwise(F.col("party")).alias("b")).dropDuplicates([product, "a", "b"])
     one, other = F.col("a.address"), F.col("b.address")
     address = F.when(one == other, other).otherwise(F.concat_ws(", ", one, other))
     lead = F.when(one.isNull() & other.isNotNull(), F.col("b.name")).otherwise(F.col("a.name"))
