@@ -23,10 +23,9 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 GAP, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 
-#: A line is above a host's limit in more documents than both of these say.
+#: A line goes from a host when more documents of it than this hold the line, however large the host is.
 LINE_DOCS = 10
-LINE_PERCENT = 5
-#: Lines above a limit that are broadcast, of some 40 bytes each.
+#: Lines above the limit that are broadcast, of some 40 bytes each.
 SENT_ROWS = 100_000
 #: A document is depleted when less than this part of its words is left.
 LEAST_LEFT_PERCENT = 50
@@ -52,8 +51,8 @@ def measures(docs: DataFrame) -> DataFrame:
     return placed.select(*plain, F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def depletion(docs: DataFrame) -> DataFrame:
-    """Words that each (doc_id, t1, t2, source) loses with the lines above its host's limit.
+def depletion(docs: DataFrame, limit: int = LINE_DOCS) -> DataFrame:
+    """Words that each (doc_id, t1, t2, source) loses with the lines that more than ``limit`` documents of its host hold.
 
     A host is a value of ``source``, null being one of its own.  Lines are
     compared without white space at both ends and with A-Z lower-cased; lines
@@ -62,11 +61,9 @@ def depletion(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", "t1", "t2", F.col("source").alias("host"), F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.col("line").rlike(WORD))
     hashed = lines.select("doc_id", "t1", "t2", "host", *wide_hash(key_of(F.col("line"))), F.regexp_count("line", F.lit(WORD)).alias("n"))
     one_each = hashed.groupBy("host", "h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    often = one_each.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > LINE_DOCS)
-    hosts = docs.groupBy("source", "doc_id").agg(F.lit(1).alias("one")).groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
-    above = often.join(hosts, often.host.eqNullSafe(hosts.source)).filter(F.col("docs") * 100 > F.col("host_docs") * LINE_PERCENT).select(F.col("host").alias("at"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
-    above = cut_lineage(above)
-    # A host has few lines above its limit, so they are counted and sent along; beyond the bound the lines meet them by sorting.
+    often = one_each.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > limit)
+    above = cut_lineage(often.select(F.col("host").alias("at"), F.col("h1").alias("k1"), F.col("h2").alias("k2")))
+    # Their number grows with the corpus, so they are counted: up to the bound they are sent along, beyond it the lines meet them by sorting.
     sent = F.broadcast(above) if above.count() <= SENT_ROWS else above
     lost = hashed.join(sent, hashed.host.eqNullSafe(sent["at"]) & (hashed.h1 == sent.k1) & (hashed.h2 == sent.k2))
     return lost.groupBy("doc_id", "t1", "t2", "host").agg(F.sum("n").alias("n_lost"))
@@ -77,7 +74,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     One row for each row of ``docs`` (columns doc_id, text and source are
     read).  A null or empty text has no words, so it fails; repeated rows are
-    judged alike; an empty table gives no rows.
+    judged alike and count as one document of their host; very long texts are
+    measured whole; other columns may have any name; an empty table gives no rows.
     """
     named = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"))
     base = measures(named)
@@ -102,9 +100,7 @@ worded as (
   select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key,
     len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups as (select doc_id, count(*) - count(distinct line) as n from worded group by doc_id),
-hosts as (select source, count(distinct doc_id) as host_docs from split group by source),
-often as (select source, key, count(distinct doc_id) as docs from worded group by source, key),
-above as (select o.source, o.key from often o join hosts h on o.source is not distinct from h.source where o.docs > 10 and o.docs * 100 > h.host_docs * 5),
+above as (select source, key from worded group by source, key having count(distinct doc_id) > 10),
 lost as (select w.doc_id, sum(w.n) as n from worded w join above a on w.source is not distinct from a.source and w.key = a.key group by w.doc_id),
 base as (
   select s.doc_id, len(s.words)::bigint as n_words, length(array_to_string(s.words, ''))::bigint as word_chars,
