@@ -7,6 +7,7 @@ can hold: at most 2^BITS + 1 numbers, whatever the corpus.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.decontaminate import NORMAL
-from tallymark.llm.training import TRAIN_ROWS, fit, held_out, labelled_sample
+from tallymark.llm.training import TRAIN_ROWS, fit, held_out, label_counts, labelled_sample
 from tallymark.llm.words import Chunk, bytes_of, chunks, mix, runs
 
 BITS = 20
@@ -73,12 +74,24 @@ def learn(targets: list[int], texts: Iterator[list[bytes]]) -> dict[int, float]:
     return {int(i): float(every[i]) for i in np.flatnonzero(every)}
 
 
+def base_rate_shift(population: dict[int, int], sample: dict[int, int]) -> float:
+    """What the bias of a model fitted on ``sample`` lacks where classes 0 and 1 come as in ``population``: the log ratio of their odds (0 where a class is missing)."""
+    if not all(counts.get(c) for counts in (population, sample) for c in (0, 1)):
+        return 0.0
+    return math.log(population[1] / population[0]) - math.log(sample[1] / sample[0])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict[int, float]:
     """The non-zero weights, learnt from at most ``rows`` labelled documents outside the held-out fold (none: no weights, all scores 0.5).
 
-    Half of the sample may be toxic, so that rare words of abuse are seen often enough.
+    Half of the sample may be toxic, so that rare words of abuse are seen often
+    enough; the bias is then moved to the shares of the two classes among all
+    labels outside the held-out fold.
     """
-    return fit(labelled_sample(docs, labels, F.col("toxic"), rows, classes=(0, 1)), learn)
+    sample = labelled_sample(docs, labels, F.col("toxic"), rows, classes=(0, 1))
+    shares = [{r["target"]: r["count"] for r in counts.filter("target in (0, 1)").collect()} for counts in (label_counts(labels, F.col("toxic")), sample.groupBy("target").count())]
+    weights = fit(sample, learn)
+    return weights | {BIAS: weights.get(BIAS, 0.0) + base_rate_shift(*shares)} if weights else weights
 
 
 def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:

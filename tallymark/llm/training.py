@@ -25,14 +25,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def merged_labels(labels: DataFrame, target: Column) -> DataFrame:
+    """(doc_id, target) of each labelled id outside the held-out fold; of several labels of one id the greatest counts."""
+    named = labels.select("doc_id", target.cast("int").alias("target")).filter(F.col("doc_id").isNotNull() & F.col("target").isNotNull() & ~held_out(F.col("doc_id")))
+    return named.groupBy("doc_id").agg(F.max("target").alias("target"))
+
+
+def label_counts(labels: DataFrame, target: Column) -> DataFrame:
+    """(target, count) over all labels outside the held-out fold."""
+    return merged_labels(labels, target).groupBy("target").count()
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, rows: int = TRAIN_ROWS, classes: tuple[int, ...] = ()) -> DataFrame:
     """(target int, text binary) of at most ``rows`` documents outside the held-out fold.
 
     With ``classes`` each of them gets an equal part of the bound at most.  Labels without an id or a target are left out; of several labels of one id
     the greatest counts; of several texts of one id the smallest.
     """
-    named = labels.select("doc_id", target.cast("int").alias("target")).filter(F.col("doc_id").isNotNull() & F.col("target").isNotNull() & ~held_out(F.col("doc_id")))
-    merged = named.groupBy("doc_id").agg(F.max("target").alias("target"))
+    merged = merged_labels(labels, target)
     parts = [merged.filter(F.col("target") == c) for c in classes] or [merged]
     chosen = reduce(DataFrame.union, [part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // len(parts)) for part in parts])
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
