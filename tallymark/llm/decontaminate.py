@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.llm.words import spans
+from tallymark.session import cut_lineage
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -146,6 +147,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
         own = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block) if blocks > 1 else patterns
         sent = spark.sparkContext.broadcast([(bytes(r["pattern"]), list(r["items"])) for r in own.toLocalIterator()])
         frame = frame.mapInArrow(lambda it, sent=sent: _scan(it, sent), schema)
+        if block < blocks - 1:
+            # Written before the next block, so that a task holds one automaton and the cluster one block.
+            frame = cut_lineage(frame)
+            sent.destroy()
     patterns.unpersist()
     return frame.select(F.col("_row").alias("row"), F.col("_hits").alias("hits"))
 

@@ -1,16 +1,20 @@
 """The corpus operators on small tables with every odd case, against plain Python."""
 
+import base64
 import hashlib
 import math
+import uuid
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from tallymark.llm import chat, curriculum, decontaminate, line_quality, lines, materialise, near_duplicates, quality, queries, substrings, toxicity
 from tallymark.llm.words import Chunk
+from tallymark.session import checkpoint_dir, cut_lineage
 from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -185,30 +189,87 @@ def test_chat_round_trip_and_parts(spark):
     assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 2 and got[1]["loss_sha256"] == hashlib.sha256(b"xx").hexdigest() and got[None]["n_turns"] == 1
 
 
+def test_blocks_are_written_between_scans(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 10))) for i in range(40)], "item_id bigint, text string")
+    cuts = []
+    monkeypatch.setattr(decontaminate, "cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+    want = sorted(map(str, collected(decontaminate.leak_report(docs, bench))))
+    assert not cuts
+    found = decontaminate.find_leaks(docs, bench, block_bytes=600)
+    assert len(cuts) > 3 and sum(len(r["hits"]["word_spans"]) > 0 for r in found.collect()) == sum("True" in w for w in want)
+
+
 def test_permutation_is_a_bijection():
     for n in (1, 2, 3, 17, 1000, 4097):
         assert sorted(materialise.permute(np.arange(n), n)) == list(range(n))
     assert list(materialise.permute(np.arange(1000), 1000, 1)) != list(materialise.permute(np.arange(1000), 1000, 2))
 
 
-def test_token_shards(spark, docs, tmp_path):
-    import base64
-
-    import tiktoken
+def tokens_of():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(materialise.TOKENIZER, "rb"))}
     coder = tiktoken.Encoding("t", pat_str=materialise.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    ordered = materialise.in_training_order(docs, shard=16)
-    rows = ordered.collect()
-    assert sorted(r["slot"] for r in rows) == list(range(len(rows))) and {len(r["payload"]) for r in rows} == {1024}
-    texts = defaultdict(lambda: defaultdict(int))
-    for r in rows:
-        texts[r["doc_id"]][r["seq_no"]] += 1
-    want = {r["doc_id"]: len(coder.encode_ordinary(r["text"] or "")) + 1 for r in docs.collect()}
-    assert {d: len(s) for d, s in texts.items()} == {d: -(-n // 512) for d, n in want.items()}
-    made = materialise.write_shards(ordered, str(tmp_path)).collect()
-    assert sum(r["sequences"] for r in made) == len(rows)
-    for r in rows[:: max(1, len(rows) // 20)]:
-        assert materialise.read_slot(str(tmp_path), r["slot"], shard=16).tobytes() == bytes(r["payload"])
+    return lambda text: [*coder.encode_ordinary(text or ""), materialise.END]
+
+
+def test_token_shards(spark, docs, tmp_path):
+    """Every payload, in the shard files and in the rows read back, is the tokens of its document."""
+    index = materialise.write_shards(materialise.in_training_order(docs, shard=16), str(tmp_path / "out"))
+    rows = materialise.read_shards(index).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    encode = tokens_of()
+    want = Counter()
+    for r in docs.collect():
+        tokens = encode(r["text"])
+        for k in range(0, len(tokens), 512):
+            own = tokens[k : k + 512]
+            want[r["doc_id"], k // 512, len(own), np.array(own + [materialise.END] * (512 - len(own)), dtype="<u2").tobytes()] += 1
+    assert Counter((r["doc_id"], r["seq_no"], r["n_tokens"], bytes(r["payload"])) for r in rows) == want
+    files = {r["path"]: r["shard"] for r in index.collect()}
+    assert sorted(files.values()) == list(range(-(-len(rows) // 16)))
+    by_slot = {r["slot"]: bytes(r["payload"]) for r in rows}
+    for path, shard in files.items():
+        data = open(path, "rb").read()
+        assert data == b"".join(by_slot[k] for k in range(16 * shard, min(16 * shard + 16, len(rows))))
+    for slot in (0, 17, len(rows) - 1):
+        assert materialise.read_slot(index, slot).tobytes() == by_slot[slot]
+
+
+def test_slots_do_not_depend_on_splits(spark, tmp_path):
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    source.withColumn("text", F.concat("text", F.repeat(F.lit(" more words"), 400))).repartition(5).write.option("parquet.block.size", 20_000).parquet(str(tmp_path / "d"))
+    found, settings = [], ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for size in ("134217728", "40000"):
+        for name in settings:
+            spark.conf.set(name, size)
+        try:
+            docs = spark.read.parquet(str(tmp_path / "d"))
+            found.append((docs.rdd.getNumPartitions(), {(r["doc_id"], r["seq_no"]): r["slot"] for r in materialise.in_training_order(docs).collect()}))
+        finally:
+            for name in settings:
+                spark.conf.unset(name)
+    assert found[0][0] != found[1][0] and found[0][1] == found[1][1]
+
+
+def test_windows_of_slots():
+    for n, window in ((0, 4), (3, 4), (4, 4), (103, 10), (1000, 64)):
+        index = np.random.default_rng(n).permutation(n)
+        got = materialise.slots(index, n, window)
+        assert sorted(got) == list(range(n)) and (got // window == index // window).all()
+    first, second = materialise.slots(np.arange(128), 128, 64)[:64], materialise.slots(np.arange(128), 128, 64)[64:] - 64
+    assert list(first) != list(second)
+
+
+def test_slots_follow_the_ramps(spark):
+    """Of two sources of one size, the one whose weight falls has the greater part of the first tenth of slots, and the lesser of the last."""
+    rows = [(k, f"words {k} of a short text", "en", f"s{k % 2 * 2}", 1) for k in range(4_000)] + [(9_000, "one", "en", "s1", 1)]
+    mixed = curriculum.materialise(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), ["doc_id", "text", "source"])
+    folder = f"{checkpoint_dir(spark)}/mixed-{uuid.uuid4().hex}"
+    mixed.write.parquet(folder)
+    slots = {r["slot"]: "s2" if r["doc_id"] % 2 else "s0" for r in materialise.in_training_order(spark.read.parquet(folder), window=64).collect()}
+    part = lambda ks: sum(slots[k] == "s2" for k in ks) / len(ks)
+    tenth = len(slots) // 10
+    early, late = part(range(tenth)), part(range(len(slots) - tenth, len(slots)))
+    assert early < part(range(len(slots))) < late and late > 2 * early
 
 
 def test_mixing(spark, docs):
@@ -221,14 +282,74 @@ def test_mixing(spark, docs):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and out.filter("doc_id = 18").count() <= 2
 
 
-def test_quality_rules(spark, docs):
-    for r in line_quality.quality_rules(docs).collect():
-        if r["doc_id"] in (10, 11, 12):
-            assert r["n_words"] == 0 and r["base_failed"] and not r["kept"]
-        if r["doc_id"] == 17:
-            assert r["n_repeat_words"] == r["n_words"] == 90 and not r["kept"]
-        if r["doc_id"] == 18:
-            assert r["n_words"] == 40_060 and r["kept"]
+def test_mixing_of_equal_rows_and_rows_without_an_id(spark, monkeypatch):
+    """Against plain sums: positions, shares of equal rows, and pieces smaller than a group of copies."""
+    monkeypatch.setattr(curriculum, "PIECE", 7)
+    rows = [(None, None, "b")] * 50 + [(None, f"t{k} u", "b") for k in range(40)] + [(3, f"v{k}", "a") for k in range(30)] + [(4, "w x y", None)] * 20 + [(k, "z " * (k % 5), "a") for k in range(10, 30)]
+    got = curriculum.mix_report(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    size = lambda text: len(words(text))
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((d, size(t)) for d, t, _ in rows)
+    total = Counter()
+    for _, t, s in rows:
+        total[s] += size(t)
+    weights, want, left = {"a": 5, "b": 2, None: 1}, {}, dict(total)
+    goal = 1.5 * sum(total.values())
+    while left:
+        level = (goal - sum(want.values())) / sum(weights[s] for s in left)
+        full = [s for s in left if level * weights[s] > 2 * left[s]]
+        for s in full or list(left):
+            want[s] = 2.0 * left.pop(s) if full else level * weights[s] + 0 * left.pop(s)
+    by_size = {total[s]: want[s] for s in total}
+    taken = Counter()
+    for r in got:
+        assert abs(r["target"] - by_size[r["source_size"]]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"] and (r["position"] is None or 0 <= r["position"] <= 1)
+        taken[r["source_size"]] += r["taken"]
+    assert all(by_size[n] - 30 <= t <= by_size[n] + 1e-6 for n, t in taken.items())
+    positions = [r["position"] for r in got if r["position"] is not None]
+    assert positions == sorted(positions) and all(r["position"] is None for r in got[len(positions):])
+
+
+def brute_quality(rows):
+    holders, out = defaultdict(set), []
+    key = lambda line: line.strip(SPACE).translate(LOWER)
+    for d, text, host in rows:
+        for line in (text or "").split("\n"):
+            holders[host, key(line)].add(d)
+    for d, text, host in rows:
+        w, own = words(text), [line for line in (text or "").split("\n") if words(line)]
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        count = Counter(grams)
+        repeated = len({i + o for i, g in enumerate(grams) if count[g] > 1 for o in range(3)})
+        lost = sum(len(words(line)) for line in own if len(holders[host, key(line)]) > 10)
+        failed = len(w) < 50 or 100 * repeated > 50 * len(w)
+        out.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(own) - len(set(own)), repeated, lost, failed, not failed and (len(w) - lost) * 2 >= len(w)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_quality_rules(spark, docs, monkeypatch, sent):
+    """The limit is a number of documents however large a host is; beyond the broadcast bound the rows are the same."""
+    monkeypatch.setattr(line_quality, "SENT_ROWS", sent)
+    filler = lambda k: " ".join(f"f{k}x{i}" for i in range(20))
+    more = [(100 + k, f"\tShared LINE {' '.join(map(str, range(60)))} \n{filler(k)}" if k < 11 else f"ten only\n{filler(k)} {BASE}" if k < 21 else f"{filler(k)} {BASE}\nrow", "en", "big", 1) for k in range(600)]
+    more += [(800 + k, f"shared line {' '.join(map(str, range(60)))}\n{filler(k)}", "en", None, 1) for k in range(12)] + [(None, "row\nrow", "en", None, 1)] * 15
+    every = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(more, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    want = brute_quality([(r["doc_id"], r["text"], r["source"]) for r in every.collect()])
+    assert Counter(collected(line_quality.quality_rules(every.withColumns({"host": F.lit(1), "line": F.lit(2), "t1": F.lit(3), "windows": F.lit(4)})))) == want
+    assert {r[0] for r in want if not r[7] and not r[8]} == {*range(100, 111), *range(800, 812)}
+
+
+def test_toxicity_keeps_the_base_rate(spark):
+    """Nine of ten labels are clean and half of the sample is toxic: a text without any known word is scored at the rate of the labels."""
+    rows = [(k, f"plain{k % 7} words here" if k % 10 else "vile nasty words", int(k % 10 == 0)) for k in range(3_000)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    assert toxicity.base_rate_shift({0: 900, 1: 100}, {0: 50, 1: 50}) == pytest.approx(math.log(1 / 9)) and toxicity.base_rate_shift({0: 9}, {0: 5}) == 0
+    even, model = toxicity.fit(toxicity.labelled_sample(docs, labels, F.col("toxic"), 300, classes=(0, 1)), toxicity.learn), toxicity.train(docs, labels, 300)
+    assert {k: v for k, v in model.items() if k != toxicity.BIAS} == {k: v for k, v in even.items() if k != toxicity.BIAS}
+    assert model[toxicity.BIAS] - even.get(toxicity.BIAS, 0.0) == pytest.approx(math.log(1 / 9), abs=0.2)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (None, "vile nasty words"), (4, "x " * 300_000), (4, "x " * 300_000)], "doc_id bigint, text string").withColumns({"score": F.lit("s"), "held_out": F.lit(0), "target": F.lit(1)})
+    got = [(r["doc_id"], r["score"]) for r in toxicity.score(odd, model).collect()]
+    assert len(got) == 6 and len({s for d, s in got if d in (1, 2, 3)}) == 1 and dict(got)[None] > max(s for d, s in got if d is not None)
 
 
 def test_classifiers_on_held_out_rows(spark):
