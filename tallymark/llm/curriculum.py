@@ -7,9 +7,10 @@ where a document's words lie in that supply, the inverse of the demand gives
 its training position.  Positions are range-sorted.
 
 Cumulative sums are taken in two levels, within (source, slice of the order)
-and over the slices, so a source with a third of all rows is spread over 4,096
-slices.  Word counts are taken once and written to the checkpoint folder; all
-later steps read that narrow table, never the texts.
+and over the slices.  A slice is a range partition of that order, so a source
+or an id with a third of all rows is spread over many.  Word counts are taken
+once and written to the checkpoint folder; all later steps read that narrow
+table, never the texts.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tallymark.session import cut_lineage
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
+#: Equal rows are counted together and told out again in pieces of so many.
+PIECE = 1 << 16
 #: Weight at the start and at the end of training, by the same turns as WEIGHTS; each pair adds up to 2.
 RAMPS = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,7 +82,9 @@ def curriculum(docs: DataFrame) -> DataFrame:
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    held = cut_lineage(sized.groupBy("doc_id", "source", "size", "t1", "t2").agg(F.count(F.lit(1)).alias("copies")).withColumn("digest", digest).withColumn("slice", F.substring("digest", 1, 3)))
+    counted = sized.groupBy("doc_id", "source", "size", "t1", "t2").agg(F.count(F.lit(1)).alias("copies")).withColumn("digest", digest)
+    # A slice is a range of the order down to the text, so rows of one null or repeated id do not share one.
+    held = cut_lineage(counted.repartitionByRange("source", "digest", "doc_id", "size", "t1", "t2").withColumn("slice", F.spark_partition_id()))
     words = F.col("size") * F.col("copies")
     inside = Window.partitionBy("source", "slice").orderBy("digest", "doc_id", "size", "t1", "t2").rowsBetween(Window.unboundedPreceding, -1)
     rows = held.withColumn("within", F.coalesce(F.sum(words).over(inside), F.lit(0)))
@@ -106,8 +111,13 @@ def curriculum(docs: DataFrame) -> DataFrame:
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``, range-sorted by training position, the rows left out last."""
-    rows = curriculum(docs).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    zero, one, piece = F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(PIECE).cast("long")
+    narrow = curriculum(docs).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), "t1", "copies")
+    # Equal rows leave their task as pieces, which are told out elsewhere, and their numbers let the sort part them again.
+    pieces = narrow.withColumn("piece", F.explode(F.sequence(zero, F.floor((F.col("copies") - one) / piece)))).repartition("t1", "doc_id", "piece")
+    copies = pieces.withColumn("copy", F.explode(F.sequence(one, F.least(piece, F.col("copies") - F.col("piece") * piece))))
+    ordered = copies.orderBy(F.col("position").asc_nulls_last(), "doc_id", "piece", "copy")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def materialise(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -116,8 +126,9 @@ def materialise(docs: DataFrame, columns: list[str]) -> DataFrame:
     when = plan.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), "t1", "t2", F.array_compact(F.array("position", "second_position")).alias("times"))
     keyed = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs.doc_id.alias("_d"), docs.source.alias("_s"), F.xxhash64(docs.text).alias("_1"), F.xxhash64(F.lit("second"), docs.text).alias("_2"))
     met = keyed.join(when, keyed._d.eqNullSafe(when.d) & keyed._s.eqNullSafe(when.s) & (keyed._1 == when.t1) & (keyed._2 == when.t2))
-    timed = met.select("row", F.explode("times").alias("position"), "_d")
-    return timed.repartitionByRange("position", "_d").sortWithinPartitions("position", "_d").select("row.*")
+    timed = met.select("row", F.explode("times").alias("position"), "_d", "_1", "_2")
+    order = ["position", "_d", "_1", "_2"]
+    return timed.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
 
 
 SQL = r"""
