@@ -1,24 +1,28 @@
 """Training-order token shards: a keyed Feistel permutation gives every sequence a slot.
 
 Documents are tokenised once into fixed-length sequences and written to the
-shared folder.  Sequences are numbered 0..N-1 through one count for each
-partition; a Feistel network over the next even number of bits, walked until it
-lands below N, permutes these numbers.  Slots are range-partitioned into shards
+shared folder.  Sequences are numbered 0..N-1 by the file, the row and the place
+in the row that they come from, through one count for each run of rows that a
+task read; how Spark cuts the files does not matter.  A Feistel network over the
+next even number of bits, walked until it lands below N, permutes these numbers,
+either all of them or within consecutive windows, which keeps a given order of
+the documents from window to window.  Slots are range-partitioned into shards
 of equal stride, so slot k stands at byte (k mod shard) * stride of shard
-k div shard: reading is sequential and resumes anywhere, without an index.
+k div shard: reading is sequential and resumes anywhere.
 """
 
 from __future__ import annotations
 
 import base64
-import os
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +35,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 END = 50256
 LENGTH = 512
 SHARD = 4096
+#: Sequences that are permuted among themselves where the order of the documents is to be kept: four shards.
+WINDOW = 4 * SHARD
 ROUNDS = 4
 KEY = 20_240_601
 #: 16 bytes each.
@@ -39,24 +45,38 @@ BROADCAST_ROWS = 500_000
 _ready: dict[str, object] = {}
 
 
-def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
-    """The slot of each index in 0..n-1: a bijection for every n and key."""
+def permute(index: np.ndarray, n: int, key: int = KEY, window: int | np.ndarray = 0) -> np.ndarray:
+    """The slot of each index in 0..n-1: a bijection for every n, key and window number."""
     half = np.uint64(max(1, -(-max(n - 1, 1).bit_length() // 2)))
     mask = (np.uint64(1) << half) - np.uint64(1)
     keys = mix(np.arange(ROUNDS, dtype=np.uint64) + np.uint64(key % 2**64), 41)
+    own = mix(np.zeros(len(index), dtype=np.uint64) + np.asarray(window, dtype=np.uint64), 43)
 
-    def once(x: np.ndarray) -> np.ndarray:
+    def once(x: np.ndarray, own: np.ndarray) -> np.ndarray:
         left, right = x >> half, x & mask
         for k in keys:
-            left, right = right, left ^ (mix(right ^ k, 42) & mask)
+            left, right = right, left ^ (mix(right ^ k ^ own, 42) & mask)
         return (left << half) | right
 
-    out = once(index.astype(np.uint64))
+    out = once(index.astype(np.uint64), own)
     while (outside := out >= np.uint64(n)).any():
-        out[outside] = once(out[outside])
+        out[outside] = once(out[outside], own[outside])
     return out.astype(np.int64)
 
 
+def slots(index: np.ndarray, n: int, window: int | None = None, key: int = KEY) -> np.ndarray:
+    """The slot of each index in 0..n-1; with ``window`` an index stays among the so many that it stands with (the last window may be smaller)."""
+    if window is None:
+        return permute(index, n, key)
+    number = index // window
+    low, out = number * window, np.empty(len(index), dtype=np.int64)
+    last = number == n // window
+    for some, size in ((~last, window), (last, n % window)):
+        if some.any():
+            out[some] = low[some] + permute(index[some] - low[some], size, key, number[some])
+    return out
+
+
 def _encoder(ranks) -> tiktoken.Encoding:
     """Built once in each worker process."""
     if _ready.get("from") is not ranks.value:
@@ -64,11 +84,26 @@ def _encoder(ranks) -> tiktoken.Encoding:
     return _ready["encoder"]
 
 
+def _rows_of_files(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the file and row of each row of ``docs``; what was not read from files is written first, by id and text."""
+    if "_metadata" not in docs.columns:
+        try:
+            return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        except AnalysisException:
+            pass
+    spark = docs.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).write.parquet(folder)
+    return _rows_of_files(spark.read.parquet(folder))
+
+
 def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Written table of part, at (number within the part), doc_id, seq_no, n_tokens, tokens.
+    """Written table of part, run, file, row, at, doc_id, seq_no, n_tokens, tokens.
 
     A document is its tokens and END, cut every ``length``; so a null or empty
-    text is one sequence of END alone.  Tokens are 16-bit little-endian.
+    text is one sequence of END alone.  Tokens are 16-bit little-endian.  A run
+    is what a task (``part``) read of one file without a gap; ``file`` and
+    ``row`` say where it begins, ``at`` counts its sequences.
     The table lies in the shared folder: numbering and permuting read it
     without tokenising again, and a lost executor costs only its tasks.
     """
@@ -80,93 +115,143 @@ def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER)
     sent = spark.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = _encoder(sent), TaskContext.get().partitionId(), 0
+        encoder, part = _encoder(sent), TaskContext.get().partitionId()
+        number, begins, follows, at = -1, None, None, 0
         for batch in batches:
-            owner, number, counts, blobs = [], [], [], []
-            for row, text in enumerate(batch.column(1)):
+            owner, where, blobs = [], [], []
+            for i, (text, file, row) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if (file, row) != follows:
+                    number, begins, at = number + 1, (file, row), 0
+                follows = (file, row + 1)
                 tokens = np.array([*encoder.encode_ordinary(text.as_py() or ""), END], dtype="<u2")
                 for k, low in enumerate(range(0, len(tokens), length)):
                     own = tokens[low : low + length]
-                    owner.append(row)
-                    number.append(k)
-                    counts.append(len(own))
+                    owner.append(i)
+                    where.append((number, *begins, at, k, len(own)))
                     blobs.append(own.tobytes())
-            ids = batch.column(0).take(pa.array(owner, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(owner), pa.int32()), pa.array(range(at, at + len(owner)), pa.int64()), ids, pa.array(number, pa.int32()), pa.array(counts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "at", "doc_id", "seq_no", "n_tokens", "tokens"])
-            at += len(owner)
+                    at += 1
+            if owner:
+                runs, files, rows, places, numbers, counts = zip(*where)
+                ids = batch.column(0).take(pa.array(owner, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(owner), pa.int32()), pa.array(runs, pa.int32()), pa.array(files), pa.array(rows, pa.int64()), pa.array(places, pa.int64()), ids, pa.array(numbers, pa.int32()), pa.array(counts, pa.int32()), pa.array(blobs, pa.binary())],
+                    ["part", "run", "file", "row", "at", "doc_id", "seq_no", "n_tokens", "tokens"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     folder = f"{checkpoint_dir(spark).rstrip('/')}/sequences-{uuid.uuid4().hex}"
-    made = docs.select("doc_id", "text").mapInArrow(run, f"part int, at bigint, doc_id {kind}, seq_no int, n_tokens int, tokens binary")
+    made = _rows_of_files(docs).mapInArrow(run, f"part int, run int, file string, row bigint, at bigint, doc_id {kind}, seq_no int, n_tokens int, tokens binary")
     made.write.option("compression", "zstd").parquet(folder)
     return spark.read.parquet(folder)
 
 
-def in_training_order(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, key: int = KEY, tokenizer: str = TOKENIZER) -> DataFrame:
+def in_training_order(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, key: int = KEY, tokenizer: str = TOKENIZER, window: int | None = None) -> DataFrame:
     """shard, slot, byte_offset, doc_id, seq_no, n_tokens, payload, range-partitioned by shard and sorted by slot.
 
     ``payload`` has the same number of bytes in every row: tokens, then END up
     to ``length``.  Slots are 0..N-1, each once; repeated documents get slots of
-    their own; an empty table gives no rows.  Equal input files give equal
-    slots, whichever executors run.
+    their own; null ids are kept; a very long text is as many sequences as it
+    needs; other columns may have any name; an empty table gives no rows.  Equal
+    input files give equal slots, whatever the cluster.  With ``window`` the
+    rows of ``docs`` keep their order but for the permutation within a window.
     """
     table = sequences(docs, length, tokenizer)
-    counts = table.groupBy("part").agg(F.count(F.lit(1)).alias("many"))
-    total, parts = counts.agg(F.coalesce(F.sum("many"), F.lit(0)), F.count(F.lit(1))).first()
-    # One row of two numbers for each input partition; sent along where they are few enough, joined by sorting otherwise.
-    offsets = counts.select("part", F.coalesce(F.sum("many").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    counts = table.groupBy("part", "run").agg(F.min("file").alias("file"), F.min("row").alias("row"), F.count(F.lit(1)).alias("many"))
+    total, runs = counts.agg(F.coalesce(F.sum("many"), F.lit(0)), F.count(F.lit(1))).first()
+    # One row of a few numbers for each split of an input file; sent along where they are few enough, joined by sorting otherwise.
+    before = Window.orderBy("file", "row", "part", "run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("part", "run", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("before"))
 
-    if parts <= BROADCAST_ROWS:
+    if runs <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
 
     @F.pandas_udf("bigint")
     def slot(index):
-        return index.__class__(permute(index.to_numpy(), total, key))
+        return index.__class__(slots(index.to_numpy(), total, window, key))
 
     stride = 2 * length
-    placed = table.join(offsets, "part").withColumn("slot", slot(F.col("before") + F.col("at")))
-    dealt = placed.withColumn("shard", F.floor(F.col("slot") / shard)).drop("part", "at", "before")
-    ordered = dealt.repartitionByRange("shard").sortWithinPartitions("slot")
+    placed = table.join(offsets, ["part", "run"]).select("doc_id", "seq_no", "n_tokens", "tokens", slot(F.col("before") + F.col("at")).alias("slot"))
+    ordered = placed.withColumn("shard", F.floor(F.col("slot") / shard)).repartitionByRange("shard").sortWithinPartitions("slot")
     padded = F.rpad("tokens", stride, F.lit(END.to_bytes(2, "little")))
     return ordered.select("shard", "slot", ((F.col("slot") % shard) * stride).alias("byte_offset"), "doc_id", "seq_no", "n_tokens", padded.alias("payload"))
 
 
-def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
-    """Write each shard as one file of fixed stride; returns shard, sequences, path.
+def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
+    """Write each shard as one file of fixed stride below ``folder``; returns the written index: all columns but the payload, and the path of the shard.
 
-    ``folder`` is a mount that every executor shares.  A shard is written under
-    a name of its own attempt and then renamed, so a repeated task leaves whole
-    files only.
+    ``folder`` is shared by all executors.  A task writes under names of its
+    own, and the index, which Spark commits, holds the names of the attempt that
+    counted: a task that is repeated after a loss leaves a file that nothing
+    names.
     """
-    root = folder.removeprefix("file://")
+    spark = ordered.sparkSession
+    root = folder.rstrip("/")
+    kept = [f for f in ordered.schema.fields if f.name != "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(root, exist_ok=True)
-        current, out, many, name = None, None, 0, ""
-
-        def close() -> pa.RecordBatch:
-            out.close()
-            path = f"{root}/shard-{current:08d}.bin"
-            os.replace(name, path)
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([many], pa.int64()), pa.array([path])], ["shard", "sequences", "path"])
-
+        system, base = fs.FileSystem.from_uri(f"{root}/payload")
+        system.create_dir(base, recursive=True)
+        current, out, name, at = None, None, "", len(kept)
         for batch in batches:
-            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+            names = []
+            for shard, payload in zip(batch.column(0).to_pylist(), batch.column(at)):
                 if shard != current:
                     if out is not None:
-                        yield close()
-                    current, many, name = shard, 0, f"{root}/.{uuid.uuid4().hex}"
-                    out = open(name, "wb")
-                out.write(payload.as_py())
-                many += 1
+                        out.close()
+                    current, name = shard, f"shard-{shard:08d}-{uuid.uuid4().hex}.bin"
+                    out = system.open_output_stream(f"{base}/{name}")
+                out.write(payload.as_buffer())
+                names.append(f"{root}/payload/{name}")
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array(names, pa.string())], [*(f.name for f in kept), "path"])
         if out is not None:
-            yield close()
+            out.close()
+
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    ordered.select(*[f.name for f in kept], "payload").mapInArrow(run, f"{columns}, path string").write.parquet(f"{root}/index")
+    return spark.read.parquet(f"{root}/index")
 
-    return ordered.select("shard", "payload").mapInArrow(run, "shard bigint, sequences bigint, path string")
 
+def read_shards(index: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of an index with their payload, read from the shards: neighbours of one shard in one go."""
+    stride = 2 * length
+    kept = [f for f in index.schema.fields if f.name != "path"]
 
-def read_slot(folder: str, slot: int, length: int = LENGTH, shard: int = SHARD) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, file, system = None, None, None
+        for batch in batches:
+            paths, offsets = batch.column(len(kept)).to_pylist(), batch.column([f.name for f in kept].index("byte_offset")).to_numpy()
+            low = 0
+            while low < len(paths):
+                high = low + 1
+                while high < len(paths) and paths[high] == paths[low] and offsets[high] == offsets[high - 1] + stride:
+                    high += 1
+                if paths[low] != path:
+                    if file is not None:
+                        file.close()
+                    path = paths[low]
+                    system, at = fs.FileSystem.from_uri(path)
+                    file = system.open_input_file(at)
+                data = file.read_at((high - low) * stride, int(offsets[low]))
+                ends = pa.py_buffer(np.arange(0, (high - low + 1) * stride, stride, dtype=np.int32))
+                payload = pa.Array.from_buffers(pa.binary(), high - low, [None, ends, pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(low, high - low) for i in range(len(kept))), payload], [*(f.name for f in kept), "payload"])
+                low = high
+        if file is not None:
+            file.close()
+
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    return index.select(*[f.name for f in kept], "path").mapInArrow(run, f"{columns}, payload binary")
+
+
+def token_shards(docs: DataFrame, window: int | None = None, folder: str | None = None) -> DataFrame:
+    """Write the shards of ``docs`` (below the shared folder unless ``folder`` is given) and return their rows as read back; see :func:`in_training_order`."""
+    folder = folder or f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    return read_shards(write_shards(in_training_order(docs, window=window), folder))
+
+
+def read_slot(index: DataFrame, slot: int, length: int = LENGTH) -> np.ndarray:
     """The tokens at a slot, read by offset alone."""
-    with open(f"{folder.removeprefix('file://')}/shard-{slot // shard:08d}.bin", "rb") as file:
-        file.seek((slot % shard) * 2 * length)
-        return np.frombuffer(file.read(2 * length), dtype="<u2")
+    found = index.filter(F.col("slot") == slot).select("path", "byte_offset").first()
+    system, path = fs.FileSystem.from_uri(found["path"])
+    with system.open_input_file(path) as file:
+        return np.frombuffer(file.read_at(2 * length, found["byte_offset"]), dtype="<u2")

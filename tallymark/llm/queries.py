@@ -42,7 +42,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise.in_training_order(_table(spark, sf_dir, "documents"))
+    return materialise.token_shards(_table(spark, sf_dir, "documents"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
