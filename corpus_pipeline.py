@@ -8,7 +8,12 @@ again.  All but the last return the columns of ``documents``.
 * decontamination: documents in which a window of the benchmark occurs go.
 * mixing: documents in training order, once for each pass that takes them, so a
   document can come twice; those that no pass takes go.
-* token_shards: every sequence of every document at its slot, as fixed-stride payloads.
+* token_shards: every sequence of every document at its slot, written as shards
+  and read back.  Slots follow the order of the mix but for a permutation within
+  windows of four shards.
+
+Rows without an id or a text pass through the stages by each operator's rules;
+a row that mixing counts with no word is never taken.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return materialise.in_training_order(docs)
+    return materialise.token_shards(docs, window=materialise.WINDOW)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
