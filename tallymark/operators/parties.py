@@ -86,7 +86,8 @@ def _in_any(low: Column, words: tuple[str, ...]) -> Column:
 
 
 def is_place_text(text: Column) -> Column:
-    return F.coalesce(tx.has(text, PLACE_WORDS) | tx.has(text, lx.PIN) | _in_any(F.lower(text), PLACES), F.lit(False))
+    named = tx.let(F.lower(text), lambda low: _in_any(low, PLACES))
+    return F.coalesce(tx.has(text, PLACE_WORDS) | tx.has(text, lx.PIN) | named, F.lit(False))
 
 
 def role_of(text: Column) -> Column:
@@ -219,7 +220,9 @@ def assembled_entities(df: DataFrame, key: str) -> DataFrame:
     lines = F.col("lines")
     rows = F.transform(lines, lambda l, i: F.struct(
         (i + 1).cast("int").alias("at"), l["text"].alias("line"), F.get(lines, i + 1)["text"].alias("below"), role_of(l["text"]).alias("roles")))
-    d = df.select(key, "lines", F.inline(rows)).filter(~cl.is_company_noise(F.col("line")))
+    # A line without role wording is a party by a corporate word only: all others end here.
+    rows = F.filter(rows, lambda r: (r["roles"].isNotNull() | tx.has(r["line"], COMPANY)) & ~cl.is_company_noise(r["line"]))
+    d = df.select(key, "lines", F.inline(rows))
     stripped = F.col("line")
     for _, p in ROLE_WORDS:
         stripped = F.regexp_replace(stripped, p, "")
@@ -229,8 +232,10 @@ def assembled_entities(df: DataFrame, key: str) -> DataFrame:
     own_name = F.when(F.col("roles").isNull(), F.when(~is_place_text(F.col("line")), F.col("_own.name"))).when(
         (F.length("_s") >= 3) & ~F.col("_own.garbage"), F.coalesce(F.col("_own.name"), F.col("_s")))
     below = F.when(F.col("roles").isNotNull(), F.coalesce(F.col("_below.name"), F.when((F.length("below") >= 3) & ~is_place_text(F.col("below")) & ~F.col("_below.garbage"), F.col("below"))))
-    d = d.withColumn("name", F.coalesce(own_name, below)).filter("name is not null")
-    lower = own_name.isNull()
+    # Names are generated values: a filter on a plain column would be pushed down, with all that the name is made of, and evaluate it twice.
+    d = d.withColumn("_name", own_name)
+    d = d.select("*", F.explode(F.array(F.coalesce("_name", below))).alias("name")).filter("name is not null")
+    lower = F.col("_name").isNull()
     company = F.when(lower, F.col("_below.confidence")).otherwise(F.col("_own.confidence"))
     d = d.withColumn("_conf", F.when(F.coalesce(company, F.lit(0.0)) == 0, 0.90).otherwise(company))
     d = d.withColumn("partial", F.coalesce(cl.is_partial_name(F.when(lower, F.col("below")).otherwise(F.col("_s"))), F.lit(False)))
