@@ -95,3 +95,34 @@ def test_micro_pack_and_degraded_image(spark):
     got = {(r.id, r.rule_no): r.status for r in ck.settle(ck.statutory_checks(df, "id"), "id").collect()}
     assert got["a", "RULE 6(1)(d)"] == "NOT APPLICABLE" and got["b", "RULE 6(1)(d)"] == "FAIL" and got["c", "RULE 6(1)(d)"] == "NEEDS REVIEW"
     assert got["b", "RULE 32"] == "FAIL" and got["c", "RULE 32"] == "PASS"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_party_names_are_made_once(spark):
+    """The role words stand in the plan twice, once to find the role and once to cut it off; a filter that is pushed down would repeat all of a name."""
+    lines = ["Fresh Tea", "Mfd by: Acme Foods Pvt Ltd", "Plot No 12, Noida", "Packed by", "Bharat Mills Limited", "…Traders Ltd", "MRP Rs 10", "Uttar Pradesh 201301 Mills Ltd", "Marketed by: ?", "x"]
+    df = ex.with_lines(spark.createDataFrame([(1, "\n".join(lines)), (2, ""), (3, None)], "id int, text string"))
+    found = pa.assembled_entities(df, "id")
+    assert _plan(found).count("licen[sc]e") == 2
+    got = sorted((r["at"], r["role"], r["name"], r["address"], r["pin"], r["confidence"], r["partial"]) for r in found.collect())
+    below = "Uttar Pradesh 201301 Mills Ltd"
+    assert got == [
+        (2, "MANUFACTURER", "Acme Foods Pvt Ltd", "Plot No 12, Noida", None, 0.97, False),
+        (4, "PACKER", "Bharat Mills Limited", below, "201301", 0.97, False),
+        (5, "OTHER_ORGANIZATION", "Bharat Mills Limited", below, "201301", 0.48, False),
+        (6, "OTHER_ORGANIZATION", "Traders Ltd", below, "201301", 0.38, True),
+    ]
+
+
+def test_line_values_are_bound_once(spark):
+    """The unit sale price is cut out once for each line, and a line is trimmed once for its class."""
+    df = ex.with_lines(spark.createDataFrame([(1, "Soap\nMRP Rs. 20 USP ₹1.20/g\nNet 5 g"), (2, "489/-"), (3, "30 g/-")], "id int, text string"))
+    priced = ex.retail_price(df)
+    assert _plan(priced).count("UNIT\\s*SALE") == 1
+    assert {r["id"]: r["mrp"]["amount"] for r in priced.collect()} == {1: 20.0, 2: 489.0, 3: None}
+    classed = ex.classified_lines(df)
+    assert _plan(classed.select("id", "classed")).count("trim(") <= 4
+    assert [c["line_class"] for c in classed.filter("id = 1").first()["classed"]] == ["GENERIC_NAME", "MRP", "NET_QUANTITY"]
