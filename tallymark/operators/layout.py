@@ -331,7 +331,9 @@ def words_in_cells(words: DataFrame, cells: DataFrame, grid: float = 50.0) -> Da
     """Word to table cell by its centre.
 
     Cells are registered in every grid square they touch, so the join is an
-    equi-join on (image, square) and not a comparison of all pairs.
+    equi-join on (image, square) and not a comparison of all pairs.  The planner
+    knows nothing of the squares and takes the cells for as small as their
+    table; the hint keeps it from sending them whole to every task.
     """
     cx, cy = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
     w = words.withColumn("cx", cx).withColumn("cy", cy).withColumn("gx", F.floor(cx / grid)).withColumn("gy", F.floor(cy / grid))
@@ -339,4 +341,4 @@ def words_in_cells(words: DataFrame, cells: DataFrame, grid: float = 50.0) -> Da
     c = cells.select("image_id", "cell_id", F.col("x").alias("c_x"), F.col("y").alias("c_y"), F.col("w").alias("c_w"), F.col("h").alias("c_h"))
     c = c.withColumn("gx", F.explode(steps(F.col("c_x"), F.col("c_x") + F.col("c_w")))).withColumn("gy", F.explode(steps(F.col("c_y"), F.col("c_y") + F.col("c_h"))))
     inside = F.col("cx").between(F.col("c_x"), F.col("c_x") + F.col("c_w")) & F.col("cy").between(F.col("c_y"), F.col("c_y") + F.col("c_h"))
-    return w.join(c, ["image_id", "gx", "gy"]).filter(inside).select(*words.columns, "cell_id")
+    return w.join(c.hint("merge"), ["image_id", "gx", "gy"]).filter(inside).select(*words.columns, "cell_id")

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from tallymark.operators import fuse as fu
+from tallymark.operators import layout as ly
 from tallymark.plans.labels import labels, texts
+from tallymark.sources import transcripts as tr
 
 
 def _tables(spark, folder):
@@ -23,3 +26,21 @@ def test_one_file_is_dealt_out_over_the_cores(spark, tmp_path):
         assert sum(r["count"] for r in held) == rows
         assert max(r["count"] for r in held) < rows / 4
     assert rendered.select("doc_id").distinct().count() == 500
+
+
+def test_repeated_lines_are_counted_in_many_tasks(spark, tmp_path):
+    _tables(spark, tmp_path)
+    lines = tr.explode_lines(texts(spark, str(tmp_path)), ["doc_id"])
+    assert lines.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    found = {r["line_key"]: r for r in fu.repeated_lines(lines, ["doc_id", "line_index"]).collect()}
+    assert found["gurugramharyana"]["occurrences"] == len([k for k in range(500) if k % 3 == 1])
+    assert found["text299"]["first"]["doc_id"] == "D299"
+
+
+def test_cells_are_not_sent_whole_to_every_task(spark):
+    words = spark.createDataFrame([(1, 1, 10.0, 10.0, 4.0, 4.0), (2, 1, 300.0, 10.0, 4.0, 4.0), (3, 2, 10.0, 10.0, 4.0, 4.0), (4, None, 10.0, 10.0, 4.0, 4.0)], "id int, image_id int, x double, y double, w double, h double")
+    cells = spark.createDataFrame([(7, 1, 0.0, 0.0, 90.0, 70.0), (8, 1, 0.0, 0.0, 400.0, 70.0), (9, None, 0.0, 0.0, 90.0, 70.0)], "cell_id int, image_id int, x double, y double, w double, h double")
+    found = ly.words_in_cells(words, cells)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r["id"], r["cell_id"]) for r in found.collect()) == [(1, 7), (1, 8), (2, 8)]
