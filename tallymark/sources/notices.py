@@ -36,24 +36,27 @@ def _clean(col: Column) -> Column:
     return tx.strip(F.regexp_replace(col, r"\s+", " "))
 
 
+# Values that filters ask for are generated by ``explode`` and ``inline``: plain columns
+# would be pushed into each filter with all they are made of, and evaluated there again.
+
 def paragraphs(notices: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     parts = F.posexplode(F.split(F.col(text_col), PARAGRAPH_BREAK, -1)).alias("paragraph", "raw")
     cut = notices.select(*keys, parts)
-    return cut.withColumn("text", _clean(F.col("raw"))).filter(F.length("text") >= MIN_PARAGRAPH)
+    return cut.select("*", F.explode(F.array(_clean(F.col("raw")))).alias("text")).filter(F.length("text") >= MIN_PARAGRAPH)
 
 
 def knowledge_entries(notices: DataFrame, keys: list[str], text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Entries for paragraphs that name a rule, a schedule, a product or an amendment."""
     par = paragraphs(notices, [*keys, source_col] if source_col not in keys else keys, text_col)
-    t = F.col("text")
-    rule = tx.grab(t, RULE_MENTION)
-    schedule = tx.grab(t, SCHEDULE_MENTION)
-    tags = product_tags(t)
+    columns, t = par.columns, F.col("text")
+    par = par.select("*", F.inline(F.array(F.struct(
+        tx.grab(t, RULE_MENTION).alias("_rule"), tx.grab(t, SCHEDULE_MENTION).alias("_schedule"), product_tags(t).alias("_tags")))))
+    rule, schedule, tags = F.col("_rule"), F.col("_schedule"), F.col("_tags")
     exceptions = F.transform(F.regexp_extract_all(t, F.lit(EXCEPTION), F.lit(1)), lambda m: F.substring(_clean(m), 1, 150))
     sub_rule = tx.grab(t, SUBRULE_MENTION)
     clause = tx.grab(t, CLAUSE_MENTION)
     out = par.select(
-        *par.columns,
+        *columns,
         F.coalesce(F.concat(F.lit("Rule "), rule), F.concat(schedule, F.lit(" Schedule")), F.lit("Legal Metrology Rules General")).alias("rule_number"),
         F.coalesce(F.concat(F.lit("Sub-rule ("), sub_rule, F.lit(")")), F.concat(F.lit("Clause ("), clause, F.lit(")")), F.lit("General")).alias("sub_rule_or_clause"),
         tags.alias("product_category"),
@@ -72,7 +75,8 @@ def advisory_entries(scans: DataFrame, keys: list[str], text_col: str = "text",
     t = F.col(text_col)
     hindi = F.regexp_count(t, F.lit(r"[ऀ-ॿ]"))
     latin = F.regexp_count(t, F.lit(r"[A-Za-z]"))
-    tags = product_tags(t)
+    scans = scans.withColumn("_tags", F.explode(F.array(product_tags(t))))
+    tags = F.col("_tags")
     rule = F.nullif(F.regexp_extract(t, r"[Rr]ule\s*([0-9]{1,2}(?:\s*\([0-9a-zA-Z]+\))*)", 1), F.lit(""))
     return scans.select(
         *keys, *([] if source_col in keys else [source_col]), F.lit(0).alias("paragraph"), t.alias("text"),
