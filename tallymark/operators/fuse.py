@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions import text as tx
+from tallymark.operators import carry
 from tallymark.operators import classify as cl
 from tallymark.session import cut_lineage
 
@@ -15,6 +22,9 @@ COEXIST = ("SERVING_SIZE", "INGREDIENT_QUANTITY")
 CONFLICT_CONFIDENCE = 0.45
 AGREEMENT_BONUS = 0.03
 GRID = 50.0
+# Readings of an image up to which one task groups it, and pairs of texts whose edits are counted at once.
+MOST_READINGS = 128
+PAIRS_AT_ONCE = 4096
 
 
 def merge_fields(sources: DataFrame, keys: tuple[str, str] = ("product_id", "field_name"), ord_col: str = "ord") -> tuple[DataFrame, DataFrame]:
@@ -150,14 +160,119 @@ def reading_pairs(readings: DataFrame) -> DataFrame:
     return met.filter((F.col("overlap") > 0.35) | ((F.col("overlap") > 0.15) & (tx.similarity(F.col("t"), F.col("u")) > 0.55))).select("image_id", "a", "b")
 
 
+def _similar(a: np.ndarray, b: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Whether the texts numbered ``a`` and ``b`` have a ratio above .55; tables of edit distances are filled for many pairs at once."""
+    n = np.array([len(t) for t in texts])
+    out = a == b
+    long = np.maximum(n[a], n[b])
+    open_ = np.flatnonzero(~out & (1.0 - np.abs(n[a] - n[b]) / np.maximum(long, 1) > 0.55))
+    open_ = open_[np.argsort(long[open_], kind="stable")]
+    for low in range(0, len(open_), PAIRS_AT_ONCE):
+        some = open_[low : low + PAIRS_AT_ONCE]
+        one, other = (np.array([texts[k] for k in side[some]], dtype=f"<U{long[some[-1]]}").view(np.uint32).reshape(len(some), -1).T for side in (a, b))
+        rows, columns = n[a[some]], n[b[some]]
+        edits = np.where(rows == 0, columns, 0)
+        before = np.tile(np.arange(len(other) + 1)[:, None], len(some))
+        for i in range(1, rows.max() + 1):
+            row = np.empty_like(before)
+            row[0] = i
+            for j in range(1, columns.max() + 1):
+                row[j] = np.minimum(np.minimum(before[j], row[j - 1]) + 1, before[j - 1] + (one[i - 1] != other[j - 1]))
+            ended = np.flatnonzero(rows == i)
+            edits[ended] = row[columns[ended], ended]
+            before = row
+        out[some] = 1.0 - edits / long[some] > 0.55
+    return out
+
+
+def _agreeing(image: np.ndarray, node: np.ndarray, valid: np.ndarray, box: list[np.ndarray], text: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of one image, in order, whose readings agree as :func:`reading_pairs` says; rows are sorted by image and node."""
+    x, y, w, h = box
+    right, bottom, area = x + w, y + h, w * h
+    found, shown = [], []
+    step, a = 1, np.flatnonzero(valid)
+    while len(a := a[a + step < len(image)]) and len(a := a[image[a] == image[a + step]]):
+        p = a[valid[a + step] & (node[a] != node[a + step])]
+        q = p + step
+        inter = np.maximum(0.0, np.minimum(right[p], right[q]) - np.maximum(x[p], x[q])) * np.maximum(0.0, np.minimum(bottom[p], bottom[q]) - np.maximum(y[p], y[q]))
+        overlap = inter / (area[p] + area[q] - inter)
+        sure, open_ = overlap > 0.35, (overlap > 0.15) & (overlap <= 0.35)
+        found.append((p[sure], q[sure]))
+        shown.append((p[open_], q[open_]))
+        step += 1
+    if not found:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    p, q = (np.concatenate(side) for side in zip(*shown))
+    pairs, which = np.unique(np.minimum(text[p], text[q]) * len(texts) + np.maximum(text[p], text[q]), return_inverse=True)
+    alike = _similar(pairs // len(texts), pairs % len(texts), texts)[which]
+    return tuple(node[np.concatenate([*side, more[alike]])] for side, more in zip(zip(*found), (p, q)))
+
+
+def _leaders_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(image_id, ord, leader) of readings (image_id, ord, x, y, w, h, text) sorted by image and ord; an image that goes on in the next batch waits for it."""
+    kept = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            kept = batch if kept is None else pa.concat_batches([kept, batch])
+        if kept is None or not kept.num_rows:
+            continue
+        image = pc.fill_null(kept.column(0).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        whole = kept.num_rows
+        if batch is not None and image[-1] >= 0:
+            whole -= int(np.argmax(image[::-1] != image[-1])) if (image != image[-1]).any() else whole
+        if whole:
+            yield _leaders(kept.slice(0, whole), image[:whole])
+        kept = kept.slice(whole)
+
+
+def _leaders(rows: pa.RecordBatch, image: np.ndarray) -> pa.RecordBatch:
+    place = pc.fill_null(rows.column(1).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    # Rows of one image and ord are one node.
+    starts = np.append(True, (image[1:] != image[:-1]) | (place[1:] != place[:-1]))
+    node, first = np.cumsum(starts) - 1, np.flatnonzero(starts)
+    box = [pc.cast(rows.column(c), pa.float64()).to_numpy(zero_copy_only=False) for c in range(2, 6)]
+    valid = (image >= 0) & (place >= 0) & (box[2] > 0) & (box[3] > 0) & ~np.isnan(box[0]) & ~np.isnan(box[1])
+    said = rows.column(6).dictionary_encode()
+    a, b = _agreeing(image, node, valid, box, said.indices.to_numpy(zero_copy_only=False).astype(np.int64), said.dictionary.to_pylist())
+    # Node by node from the first of each image: who is led leads nobody.
+    new = np.append(True, image[first][1:] != image[first][:-1])
+    rank = np.arange(len(first)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    order = np.lexsort((a, b, rank[b]))
+    a, b = a[order], b[order]
+    leader = np.arange(len(first))
+    ends = np.flatnonzero(np.append(rank[b][1:] != rank[b][:-1], True)) + 1 if len(b) else []
+    low = 0
+    for high in ends:
+        leads = leader[a[low:high]] == a[low:high]
+        led, at = np.unique(b[low:high][leads], return_index=True)
+        leader[led] = a[low:high][leads][at]
+        low = high
+    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(1).take(pa.array(first[leader[node]]))], ["image_id", "ord", "leader"])
+
+
+def _groups_in_place(readings: DataFrame, rows: int) -> DataFrame:
+    """:func:`reading_groups` of images of few readings, which are sent once and grouped many at a time."""
+    kind = {c: readings.schema[c].dataType.simpleString() for c in ("image_id", "ord")}
+    r = readings.select("image_id", "ord", "x", "y", "w", "h", tx.strip(F.lower(F.coalesce("text", F.lit("")))).alias("text"))
+    return carry.together(r, "image_id", rows).sortWithinPartitions("image_id", "ord").mapInArrow(_leaders_of_batches, f"image_id {kind['image_id']}, ord {kind['ord']}, leader {kind['ord']}")
+
+
 def reading_groups(readings: DataFrame) -> DataFrame:
     """(image_id, ord, leader): the first reading of the group that each reading joins.
 
     A reading joins the first group whose first reading it agrees with, else it
-    starts one.  Readings are rows (image_id, ord, text, x, y, w, h), so a dense
-    image is spread over tasks.  In each round, readings that no open earlier
-    one agrees with lead and those they agree with follow.
+    starts one.  Readings are rows (image_id, ord, text, x, y, w, h).  Images of
+    few readings are grouped whole, one after another; a dense one is spread
+    over tasks.
     """
+    dense, rows = carry.crowded(readings, "image_id", MOST_READINGS)
+    if dense is None:
+        return _groups_in_place(readings, rows)
+    return _groups_in_place(readings.join(dense, "image_id", "left_anti"), rows).unionByName(_groups_across(readings.join(dense, "image_id", "left_semi")))
+
+
+def _groups_across(readings: DataFrame) -> DataFrame:
+    """:func:`reading_groups` of images of any number of readings: in each round, readings that no open earlier one agrees with lead and those they agree with follow."""
     edges = cut_lineage(reading_pairs(readings))
     open_, followers = edges, None
     while not open_.isEmpty():

@@ -165,3 +165,48 @@ def test_percent_blocks_follow_the_reading_order(spark):
             want[r[1]] = block
     df = spark.createDataFrame(rows, "image_id string, line_index int, y double, x double, h double")
     assert {r["line_index"]: r["block_no"] for r in ly.lines_to_blocks_percent(df).collect()} == want
+
+
+def test_links_in_place_equal_those_of_segments(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["p", "q", None, *"stuv"]), rnd.randrange(40), rnd.choice(["i1", "i2", "i3", None]), rnd.choice(["packer", "Packer", "maker", None]), rnd.choice(["A", "a ", "B", "NOT_VISIBLE", None]), rnd.choice(["x", None]), 0.5) for _ in range(300)]
+    # The first parties of images are told apart, as ties are in no given order.
+    rows = [(p, k, *r) for k, (p, _, *r) in enumerate(rows)] + [(p, k, *r) for k, (p, _, *r) in enumerate(rows) if k % 7 == 0]
+    df = spark.createDataFrame(rows, "product_id string, ord int, image_id string, role string, name string, address string, confidence double")
+    some = [sorted(map(str, lk.entity_links(df).collect()))]
+    for most in (0, 40):
+        monkeypatch.setattr(lk, "MOST_PARTIES", most)
+        some.append(sorted(map(str, lk.entity_links(df).collect())))
+    assert some[0] and some[0] == some[1] == some[2]
+
+
+def test_links_are_made_with_two_shuffles(spark):
+    """One to count the parties of a product, one to bring them together."""
+    df = spark.createDataFrame([("p", k, f"i{k}", "packer", "A", None, 0.5) for k in range(5)], "product_id string, ord int, image_id string, role string, name string, address string, confidence double")
+    plan = lk.entity_links(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" not in plan
+
+
+def test_groups_in_place_equal_those_of_the_grid(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = ["Net Wt 50g", "Net Wt 5Og", " net wt 50 G", "MRP Rs 10", "MRP Rs 1O0", "", None, "Best before é", "B"]
+    rows = [(rnd.choice([*range(30), None]), rnd.choice([*range(40), None]), rnd.choice(texts), rnd.choice([rnd.uniform(-20, 90), None]) if i % 9 == 0 else rnd.uniform(-20, 90), rnd.uniform(-20, 60), rnd.choice([0.0, 15.0, 40.0, 70.0]), rnd.choice([8.0, 12.0, 60.0])) for i in range(900)]
+    df = spark.createDataFrame(rows, "image_id int, ord bigint, text string, x double, y double, w double, h double").repartition(5)
+    some = [sorted(map(str, fu.reading_groups(df).collect()))]
+    want = sorted(map(str, fu._groups_across(df).collect()))
+    monkeypatch.setattr(fu, "MOST_READINGS", 28)
+    some.append(sorted(map(str, fu.reading_groups(df).collect())))
+    assert some[0] == some[1] == want and len(want) == len(rows)
+
+
+def test_an_image_is_grouped_whole_though_batches_cut_it(spark):
+    df = spark.createDataFrame([(k // 20, k % 20, "a", 0.0 if k % 2 else 500.0, 0.0, 10.0, 10.0) for k in range(2_000)], "image_id int, ord int, text string, x double, y double, w double, h double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = fu.reading_groups(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 2_000 and all(r["leader"] == r["ord"] % 2 for r in got)
+    plan = fu.reading_groups(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
