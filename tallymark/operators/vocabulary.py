@@ -3,9 +3,10 @@
 A vocabulary is a table (category, kind, subcategory, phrase): keywords that
 score for a category, and words that tell its sub-category.  A text is cut at
 word borders once; each word stands with those that follow it, as many as the
-longest phrase has, and meets the vocabulary by an equi-join on the first word.
-No expression grows with the vocabulary, and texts are not compared with
-phrases that do not begin in them.
+longest phrase has.  Words that begin phrases stay, once for each length of
+these, and meet the vocabulary by an equi-join on the whole phrase.  No
+expression grows with the vocabulary, and texts are not compared with phrases
+that do not begin in them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallymark.session import cut_lineage
+
 # fixed values: hundredths for each hit, the most for one phrase, and the gates
 LONG_WORD, SHORT_WORD, SHORT_CHARS, MOST = 15, 8, 3, 40
 LEAST, HIGHEST, OPEN, CLOSE, SURE = 15, 99, 35, 12, 70
@@ -21,6 +24,8 @@ IMPORTED, IMPORT_POINTS = "IMPORTED_PRODUCT", 30
 IMPORT_WORDS = ("imported by", "importer", "country of origin", "made in", "product of")
 
 LONGEST_PHRASE = 64
+# A table of so many bytes, by its letters and so many for each row, is sent to all tasks.
+SENT_BYTES, ROW_BYTES = 32 << 20, 64
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -32,14 +37,23 @@ def _pieces(low: Column) -> Column:
     return F.array_remove(F.split(low, r"\b"), "")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """``table``, to be sent to all tasks if its measured size allows; it is written once, so that it is not made again."""
+    held = cut_lineage(table)
+    chars = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in held.columns), F.lit(0))
+    size = held.agg(F.coalesce(F.sum(chars * 4 + ROW_BYTES), F.lit(0))).first()[0]
+    return F.broadcast(held) if size <= SENT_BYTES else held
+
+
 def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, phrase, hits): how often each of the distinct phrases stands in a text, as whole words and without regard to case.
 
     A phrase that overlaps itself counts at every place.  Phrases without a
-    word are not looked for; one of more than 64 pieces is an error.
+    word are not looked for; one of more than 64 pieces is an error.  A word
+    that no phrase begins with is not sent anywhere.
     """
     known = phrases.select(F.lower("phrase").alias("phrase")).distinct().withColumn("_p", _pieces(F.col("phrase")))
-    known = known.filter(F.col("phrase").rlike(r"^\w")).select("phrase", F.size("_p").alias("many"), F.get("_p", F.lit(0)).alias("first"))
+    known = cut_lineage(known.filter(F.col("phrase").rlike(r"^\w")).select("phrase", F.size("_p").alias("many"), F.get("_p", F.lit(0)).alias("first")))
     longest = known.agg(F.coalesce(F.max("many"), F.lit(1))).first()[0]
     if longest > LONGEST_PHRASE:
         raise ValueError(f"a phrase has {longest} pieces")
@@ -47,9 +61,11 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, text_col: str = "
     # The same array, shifted by one piece for every place in a phrase: one row holds a word and what follows it.
     shifted = F.arrays_zip(*[F.slice("_p", F.lit(k + 1), F.greatest(F.size("_p"), F.lit(1))).alias(f"p{k}") for k in range(longest)])
     words = cut.select(key, F.inline(shifted)).toDF(key, *[f"p{k}" for k in range(longest)]).filter(F.col("p0").rlike(r"^\w"))
-    met = words.join(known, words.p0 == known["first"])
-    said = F.array_join(F.slice(F.array(*[F.col(f"p{k}") for k in range(longest)]), F.lit(1), F.col("many")), "")
-    return met.filter(said == F.col("phrase")).groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("hits"))
+    # A word asks once for each length of the phrases that begin with it, however many these are.
+    lengths = _small(known.select("first", "many").distinct())
+    met = words.join(lengths, words.p0 == lengths["first"])
+    said = met.select(key, F.array_join(F.slice(F.array(*[F.col(f"p{k}") for k in range(longest)]), F.lit(1), F.col("many")), "").alias("phrase"))
+    return said.join(_small(known.select("phrase")), "phrase").groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def vocabulary_categories(docs: DataFrame, vocabulary: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -63,7 +79,7 @@ def vocabulary_categories(docs: DataFrame, vocabulary: DataFrame, key: str, text
     words the text contains.  Points are whole hundredths, so sums are exact.
     """
     keywords = vocabulary.filter("kind = 'keyword'").select("category", F.lower("phrase").alias("phrase")).distinct()
-    hits = phrase_hits(docs, keywords, key, text_col).join(keywords, "phrase")
+    hits = phrase_hits(docs, keywords, key, text_col).join(_small(keywords), "phrase")
     each = F.when(F.length("phrase") > SHORT_CHARS, LONG_WORD).otherwise(SHORT_WORD)
     points = hits.select(key, "category", F.least(F.lit(MOST).cast("long"), F.col("hits") * each).alias("points"))
     low = F.lower(F.coalesce(text_col, F.lit("")))
@@ -75,7 +91,7 @@ def vocabulary_categories(docs: DataFrame, vocabulary: DataFrame, key: str, text
     # One row for each category that a text has words of.
     ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "category"))).filter("place <= 2")
     top = ranked.groupBy(key).agg(*[F.max(F.when(F.col("place") == p, F.col(c))).alias(f"{c}{p}") for p in (1, 2) for c in ("category", "score")])
-    subs = vocabulary.filter("kind = 'sub'").select(F.col("category").alias("category1"), "subcategory", F.lower("phrase").alias("_word")).distinct()
+    subs = _small(vocabulary.filter("kind = 'sub'").groupBy(F.col("category").alias("category1"), F.lower("phrase").alias("_word")).agg(F.min("subcategory").alias("subcategory")))
     held = docs.select(key, low.alias("_low")).join(top.select(key, "category1"), key).join(subs, "category1").filter(F.contains("_low", F.col("_word")))
     sub = held.groupBy(key).agg(F.min("subcategory").alias("subcategory"))
     out = docs.select(key).join(top, key, "left").join(sub, key, "left")

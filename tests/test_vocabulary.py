@@ -24,3 +24,21 @@ def test_categories_of_a_vocabulary_file(spark, tmp_path):
     assert got[6] == ("UNKNOWN", None, 0.39, "NEEDS_REVIEW", "IMPORTED_PRODUCT")
     assert got[7] == ("COSMETIC", None, 0.55, "CONFIRMED", None) and got[8] == ("UNKNOWN", None, 0.4, "NEEDS_REVIEW", "HAIR")
     assert vo.vocabulary_categories(docs, vocabulary.limit(0), "id").filter("category <> 'UNKNOWN'").count() == 0
+
+
+def test_words_are_not_sent_around(spark, monkeypatch):
+    """Only hits are shuffled, whatever the planner takes the vocabulary for; a larger one is joined by sorting, with the same hits."""
+    docs = spark.createDataFrame([(i, f"green tea {i} green green tea blue") for i in range(20)], "id int, text string")
+    phrases = spark.createDataFrame([("Green Tea",), ("green",), ("tea",), ("green tea 7 green",), ("green tea zzz",)], "phrase string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        hits = vo.phrase_hits(docs, phrases, "id")
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+        want = sorted(map(tuple, hits.collect()))
+        assert (7, "green tea 7 green", 1) in want and (3, "green", 3) in want and len(want) == 61
+        monkeypatch.setattr(vo, "SENT_BYTES", -1)
+        assert sorted(map(tuple, vo.phrase_hits(docs, phrases, "id").collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
