@@ -234,6 +234,30 @@ def test_token_shards(spark, docs, tmp_path):
         assert materialise.read_slot(index, slot).tobytes() == by_slot[slot]
 
 
+def test_shards_are_written_in_passes_that_leave_no_shuffle(spark, docs, tmp_path, monkeypatch):
+    """The passes write what one would; no pass takes much more than its part, and its shuffle files are gone when it ends."""
+    want = Counter(map(str, materialise.in_training_order(docs, shard=16).collect()))
+    made, held, write = [], [], materialise.write_shards
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {b for b in map(str, blocks.getAllBlocks().mkString(" ").split()) if b.startswith("shuffle_")}
+
+    def watched(ordered, *given):
+        made.append(ordered.count())
+        before = shuffles()
+        out = write(ordered, *given)
+        held.append(shuffles() - before)
+        return out
+
+    monkeypatch.setattr(materialise, "write_shards", watched)
+    folder = str(tmp_path / "out")
+    rows = materialise.token_shards(docs, folder=folder, shard=16).collect()
+    assert Counter(map(str, rows)) == want and len(made) == materialise.PASSES and sum(made) == len(rows)
+    assert max(made) <= len(rows) / materialise.PASSES + 16 and not any(held)
+    index = spark.read.parquet(f"{folder}/index")
+    assert index.select("path").distinct().count() == index.select("shard").distinct().count() == -(-len(rows) // 16)
+    assert spark.conf.get(materialise.CLEANUP) == "false" and materialise.token_shards(docs.limit(0)).count() == 0
+
+
 def test_slots_do_not_depend_on_splits(spark, tmp_path):
     source = spark.read.parquet(f"{SF}/documents.parquet")
     source.withColumn("text", F.concat("text", F.repeat(F.lit(" more words"), 400))).repartition(5).write.option("parquet.block.size", 20_000).parquet(str(tmp_path / "d"))
