@@ -54,6 +54,31 @@ def test_stage_changes_of_shuffled_files_equal_the_batch(spark, tmp_path):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_scans_share_calls_into_the_state(spark, tmp_path, monkeypatch):
+    """The state is asked for buckets of scans; scans of one bucket keep apart, also over runs and without an id."""
+    calls = str(tmp_path / "calls")
+
+    class Counted(sf.ChangeProcessor):
+        def handleInputRows(self, key, rows, timerValues):
+            with open(calls, "a") as out:
+                out.write("x")
+            return super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(sf, "ChangeProcessor", Counted)
+    monkeypatch.setattr(sf, "BUCKETS", 6)
+    rows = [(f"s{k % 200}" if k % 200 else None, k, float(k * 7 % 1_200), st.STATES[k * k % len(st.STATES)]) for k in range(1_200)]
+    make = lambda some: spark.createDataFrame(some, "scan_id string, event_id bigint, hour double, state string").select("scan_id", "event_id", (F.expr(T0) + F.expr("make_interval(0, 0, 0, 0, 0, 0, hour * 60)")).alias("ts"), "state")
+    frames = [make(rows[:600]), make(rows[600:]), make([("end", -1, 1e6, "CREATED")])]
+    out = feed(spark, tmp_path, frames, lambda s: sf.stage_changes(s, "30 days"), "append")
+    want, last = [], {}
+    for scan, event, _, state in sorted(rows, key=lambda r: (r[2], r[1])):
+        before = last.get(scan, "CREATED")
+        want.append((scan, event, before, state, before == state or (before, state) in set(st.transitions())))
+        last[scan] = state
+    got = [(r["scan_id"], r["event_id"], r["from_state"], r["state"], r["legal"]) for r in out if r["scan_id"] != "end"]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(open(calls).read()) <= 2 * 6 + 1
+
+
 @pytest.fixture(autouse=True)
 def _state_store(spark):
     before = spark.conf.get(sf.PROVIDER, None)
