@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymark.functions import normalise as nm
+from tallymark.functions import text as tx
 from tallymark.operators import checks as ck
 from tallymark.operators import classify as cl
 from tallymark.operators import extract as ex
@@ -126,3 +127,16 @@ def test_line_values_are_bound_once(spark):
     classed = ex.classified_lines(df)
     assert _plan(classed.select("id", "classed")).count("trim(") <= 4
     assert [c["line_class"] for c in classed.filter("id = 1").first()["classed"]] == ["GENERIC_NAME", "MRP", "NET_QUANTITY"]
+
+
+def test_needles_stand_in_all_that_a_pattern_matches(spark):
+    """Lines without digits and words of the patterns, which most are, are searched for these two only."""
+    assert tx.needles(r"(?i)\b(?:plot\s*no\.?|sector|rd\b)\b") == {"plot", "sector", "rd"} and tx.needles(r"(?i)(?:tax)?x*[ab]") == {""}
+    wanted = ["Power Couple", "RADIANTGLOW", "boosts", "100% natural", "pure & fresh", "lncl. of all taxes", "1nc tax", "सभी करों सहित", "कर सहित", "Made in", "उत्पत्ति: भारत X", "ind. area", "P.O. plot",
+              "permitted natural color", "flavouring substance", "do not swallow", "Grievance Officer", "hair fall", "anti-aging", "sodium\tlaureth  sulfate", "dog food", "TEA", "wheatflour", "palm oil", "Sector 18", "kills 99.9%"]
+    df = spark.createDataFrame([(w,) for w in wanted] + [("ordinary words, nothing else, here",), ("steam engines",)], "t string")
+    got = {r["t"]: r["needed"] for r in df.select("t", tx.has(F.lower("t"), cl._NEEDED).alias("needed")).collect()}
+    assert [w for w in wanted if not got[w]] == [] and not got["ordinary words, nothing else, here"] and not got["steam engines"]
+    for p in cl._WORDED:
+        for r in df.select("t", tx.has(F.col("t"), p).alias("hit"), F.lower("t").alias("low")).collect():
+            assert not r["hit"] or any(n in r["low"] for n in tx.needles(p))
